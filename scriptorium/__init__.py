@@ -1,0 +1 @@
+"""Ranked full-text search and corpus analytics on Spark."""

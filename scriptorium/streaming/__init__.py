@@ -1,0 +1 @@
+"""No streaming operators: the surveyed engine rebuilds its index and has no streams."""
