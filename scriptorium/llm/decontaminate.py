@@ -85,37 +85,50 @@ def _merge(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+class Finder:
+    """The benchmark's searchers on an executor: from one broadcast, or block by block from several."""
+
+    def __init__(self, shipped: list, window: int):
+        self.shipped, self.window = shipped, window
+        self.ready = searchers(shipped[0].value, window) if len(shipped) == 1 else None
+
+    def search(self, found_in: list[list[bytes]]) -> list[tuple[set, list]]:
+        """Per list of words: the items that occur, the occurrences (start, end)."""
+        out: list[tuple[set, list]] = [(set(), []) for _ in found_in]
+        for block in self.shipped:
+            finders = self.ready if self.ready is not None else searchers(block.load_from_path(block._path), self.window)
+            for words, (names, spans) in zip(found_in, out, strict=True):
+                for f in finders:
+                    for start, items in f.occurrences(words):
+                        names.update(items)
+                        spans.append((start, start + f.m))
+        return out
+
+
+def ship(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> list:
+    """The items with a text as broadcast blocks of about ``block_words`` words, by the benchmark's measured size."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    characters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-characters // (block_words * 6)))
+    part = lambda k: items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+    return [sc.broadcast([(r.item, r.text) for r in part(k).toLocalIterator()]) for k in range(blocks)]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: its words, the words inside any occurrence, the items that occur, the hit spans in words."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (block_words * 6)))
-    shipped = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        shipped.append(spark.sparkContext.broadcast([(r.item, r.text) for r in part.toLocalIterator()]))
-
-    def search(batches):
-        ready = searchers(shipped[0].value, window) if blocks == 1 else None
+    shipped = ship(benchmark, block_words, item_col, item_text_col)
+
+    def run(batches):
+        finder = Finder(shipped, window)
         for batch in batches:
-            all_words = None
-            found: list[tuple[set, list]] = [(set(), []) for _ in range(batch.num_rows)]
-            counts = [0] * batch.num_rows
-            for k in range(blocks):
-                finders = ready if ready is not None else searchers(shipped[k].load_from_path(shipped[k]._path), window)
-                for i, text in enumerate(texts(batch)):
-                    words = words_of(text)
-                    counts[i] = len(words)
-                    for f in finders:
-                        for start, names in f.occurrences(words):
-                            found[i][0].update(names)
-                            found[i][1].append((start, start + f.m))
+            words = [words_of(t) for t in texts(batch)]
+            found = finder.search(words)
             spans = [_merge(s) for _, s in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(counts, pa.int64()),
+                    pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
                     pa.array([sorted(x) for x, _ in found], pa.list_(pa.string())),
                     pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
@@ -123,7 +136,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, bl
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(search, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, in which no window occurs."""
+    shipped = ship(benchmark, block_words, item_col, item_text_col)
+
+    def run(batches):
+        finder = Finder(shipped, window)
+        for batch in batches:
+            found = finder.search([words_of(t) for t in texts(batch, text_col)])
+            yield batch.filter(pa.array([not spans for _, spans in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,0 +1,61 @@
+import random
+import re
+import string
+
+import numpy as np
+
+from scriptorium.llm import secrets
+from tests.llm.conftest import clashing, prose
+
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def brute(text):
+    out = [("assign", *m.span()) for m in re.finditer(ASSIGN, text or "") if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def texts():
+    rng = random.Random(18)
+    bits = ["password", "PassWD", "secret", "toKen", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "AKIAAB12", "ABCD0123", "é", "\n", "-", "deadbeef" * 4, "0123", "x.y/z+", "tokentoken=", "ſecret", "K"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+
+
+def test_base_against_brute_force(spark):
+    docs = list(enumerate(texts()))
+    got = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind != "random"] for r in got}
+    assert by == {i: brute(t) for i, t in docs}
+
+
+def test_model():
+    rng = np.random.default_rng(1)
+    ordinary = secrets.identifier_samples(rng, 2000)
+    model = secrets.MarkovRatio(secrets.random_samples(rng, 2000), ordinary)
+    fresh = np.random.default_rng(2)
+    caught = [model.score(s) > model.threshold for s in secrets.random_samples(fresh, 500) if len(s) >= 24 and not set(s) <= set("0123456789abcdef")]
+    wrong = [model.score(s) > model.threshold for s in secrets.identifier_samples(fresh, 500) if len(s) >= 20]
+    assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.01
+
+
+def test_random_strings_in_prose(spark):
+    rng = random.Random(19)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    docs = [(1, prose(rng, 50) + f" {key} " + prose(rng, 50)), (2, prose(rng, 100) + " get_user_account_settings_by_name OrdinaryLongClassNameFactory /usr/local/share/python/library"), *((i, prose(rng, 80)) for i in range(3, 60))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: [docs[r.doc_id - 1][1][s.start : s.end] for s in r.spans] for r in secrets.scan(df).collect()}
+    assert got.pop(1) == [key] and not any(got.values())
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == docs[0][1].replace(key, "[SECRET]") and clean[2] == docs[1][1]
+
+
+def test_edges(spark, edges, no_docs):
+    got = secrets.digest(secrets.scan(clashing(edges, "spans", "kind"))).collect()
+    assert len(got) == 12 and all(r.spans == "" and r.n_assign == r.n_access == r.n_hex == 0 for r in got)
+    assert secrets.scan(no_docs).collect() == []
+    out = secrets.redact(edges.withColumn("text", edges.text), length_col="n_chars").collect()
+    assert [r.text for r in out] == [r.text for r in edges.collect()] and all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+    one = spark.createDataFrame([(1, "x password=abcdefgh01 " + "f" * 40 + " token: " + "0" * 40)], "doc_id long, text string")
+    assert secrets.redact(one).first().text == "x [SECRET] [SECRET] [SECRET]"
