@@ -78,10 +78,9 @@ class Index:
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         self.threshold = threshold
         self.sets = [(name, s) for name, texts_ in sorted(templates.items()) for t in texts_ if (s := bigrams(normalise(t)))]
-        ratio = (2 - threshold) / threshold
-        top = int(max((len(s) for _, s in self.sets), default=0) * ratio)
+        top = int(max((len(s) for _, s in self.sets), default=0) * (2 - threshold) / threshold) + 1
         #: Candidate templates by the size of the passage's set.
-        self.by_size = [[(name, s) for name, s in self.sets if len(s) <= n * ratio and n <= len(s) * ratio] for n in range(top + 1)]
+        self.by_size = [[(name, s) for name, s in self.sets if 2 * min(n, len(s)) / (n + len(s)) >= threshold] for n in range(top + 1)]
         self.least = next((n for n, c in enumerate(self.by_size) if c), top + 1)
         self.known = frozenset(g for _, s in self.sets for g in s)
 
