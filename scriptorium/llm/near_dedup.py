@@ -9,10 +9,12 @@
    ``miss``.
 3. Survivors are verified exactly on the full sets: first each node's most similar leader, then the best proposal between
    any two components so found, then all other proposals that still lie between two components.
-4. A bucket whose members are still in several components then proposes every pair of a member outside its main component
-   with a member of another component (in the first band that they share, so once), which steps 2 and 3 verify too. No
-   proposal inside one component is needed: it could not change a component. So links are lost only by banding
-   (probability (1 - t^rows)^bands at similarity t: 3e-6 for the defaults at 0.8) and by ``miss``.
+4. A bucket whose members are still in several components compares every member outside its main component with every
+   member of another component (a pair in the first band that it shares, so once). This runs in blocks of at most about
+   ``block`` by ``block`` members: signatures batch by batch, then the full sets, and only links that join two components
+   leave a block, so pairs are never rows. No comparison inside one component is needed: it could not change a component.
+   So links are lost only by banding (probability (1 - t^rows)^bands at similarity t: 3e-6 for the defaults at 0.8) and by
+   ``miss``.
 
 Scale: nothing is collected but counts; groups of copies are summed map-side; joins on band keys and nodes are plain
 shuffle joins that adaptive execution can split; components are found by contraction (hook to the smallest neighbour,
@@ -185,6 +187,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _intersections(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the given pairs of sorted sets."""
+    i, j = pairs
+    known, inverse = np.unique(np.concatenate(left), return_inverse=True)
+    cost = sum(len(left[x]) + len(right[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True))
+    if len(left) * len(right) * len(known) > 30 * cost:
+        return np.array([np.isin(left[x], right[y], assume_unique=True).sum() for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    # all pairs at once: 0/1 rows over slices of the known shingles, multiplied
+    of_left = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    flat = np.concatenate(right)
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    hit = known[at] == flat
+    of_right = np.repeat(np.arange(len(right)), [len(x) for x in right])[hit]
+    at = at[hit]
+    out = np.zeros((len(left), len(right)), np.float64)
+    width = 8192
+    for lo in range(0, len(known), width):
+        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        inside = (inverse >= lo) & (inverse < lo + width)
+        a[of_left[inside], inverse[inside] - lo] = 1
+        inside = (at >= lo) & (at < lo + width)
+        b[of_right[inside], at[inside] - lo] = 1
+        out += a @ b.T
+    return out[i, j].astype(np.int64)
+
+
+def _between_components(blocks: DataFrame, minhash: MinHash, threshold: float, miss: float, batch_size: int) -> DataFrame:
+    """Links a, b found in blocks of one bucket (key, ob, mb): members with ``left`` against those without."""
+    n = minhash.n
+    steps = [(i, min(i + batch_size, n)) for i in range(0, n, batch_size)]
+    least = [least_matches(j, threshold, miss) for _, j in steps]
+    percent = round(threshold * 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        side = np.array(table["left"].to_pylist(), bool)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(left) or not len(right):
+            return empty
+        node, component, outside = (np.array(table[c].to_pylist()) for c in ("node", "component", "outside"))
+        keys = np.array(table["keys"].to_pylist(), np.int64).reshape(len(node), -1)
+        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, n)
+        sets = [np.array(s, np.int64) for s in table["shingles"].to_pylist()]
+        key = table["key"][0].as_py()
+        # the first band that two members share, if it is this one; two members outside the main component meet twice
+        band = (keys[left[0]] == key).argmax()
+        i, j = np.nonzero((component[left][:, None] != component[right][None, :]) & (~outside[right][None, :] | (node[left][:, None] < node[right][None, :])))
+        if band:
+            before = np.zeros(len(i), bool)
+            for k in range(band):
+                before |= keys[left[i], k] == keys[right[j], k]
+            i, j = i[~before], j[~before]
+        matches = np.zeros(len(i), np.int64)
+        for (lo, hi), m in zip(steps, least, strict=True):
+            matches += (signatures[left[i], lo:hi] == signatures[right[j], lo:hi]).sum(axis=1)
+            alive = matches >= m
+            i, j, matches = i[alive], j[alive], matches[alive]
+        if not len(i):
+            return empty
+        both = _intersections([sets[x] for x in left], [sets[x] for x in right], (i, j))
+        size = np.array([len(x) for x in sets])
+        good = 100 * both >= percent * (size[left[i]] + size[right[j]] - both)
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
+        links = []
+        for x, y in zip(left[i[good]].tolist(), right[j[good]].tolist(), strict=True):
+            a, b = find(int(component[x])), find(int(component[y]))
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                links.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return blocks.groupBy("key", "ob", "mb").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) of all nodes of ``links`` (a, b), by contraction."""
     now = scratch.keep(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -223,6 +305,7 @@ def near_dedup(
     rows: int = 5,
     miss: float = 1e-6,
     batch_size: int = 32,
+    block: int = 256,
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -255,20 +338,23 @@ def near_dedup(
     found = components(links, scratch)
 
     # step 4: what a leader could not show
-    labelled = scratch.keep(members.join(found, "node", "left").select("key", "node", "leader", F.coalesce("component", "node").alias("component")))
+    labelled = scratch.keep(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = scratch.keep(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2").select("key", F.col("top.component").alias("main")))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
+    blocks_of = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    mixed = scratch.keep(mixed.select("key", F.col("top.component").alias("main"), blocks_of(F.col("size") - F.col("top.n")).alias("obs"), blocks_of(F.col("size")).alias("mbs")))
     if not mixed.isEmpty():
-        keys_of = nodes.select("node", "keys")
-        others = scratch.keep(labelled.join(mixed, "key").join(keys_of, "node"))
-        outside = others.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("leader").alias("la"), F.col("keys").alias("ka"))
-        inside = others.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("keys").alias("kb"), F.col("main").alias("m"))
-        first = F.element_at(F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull()), 1)
-        pairs = outside.join(inside, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("m")) | (F.col("a") < F.col("b"))) & (first == F.col("key"))).select("a", "b").distinct()
-        rest = scratch.keep(_scored(pairs, nodes, threshold, miss, minhash.n, batch_size))
-        if not rest.isEmpty():
-            more = scratch.keep(_sets(docs, rest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle_words))
-            links = scratch.keep(links.union(_verified(rest, more, threshold)))
+        others = scratch.keep(labelled.join(mixed, "key").select("*", (F.col("component") != F.col("main")).alias("outside")))
+        chosen = others.select("node").distinct()
+        wanted = scratch.keep(_sets(docs, chosen, shingle_words).join(nodes.select("node", "signature", "keys"), "node"))
+        number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ("key", "ob", "mb", "left", "node", "component", "outside")
+        left = others.where("outside").withColumns({"ob": number(F.col("obs")), "left": F.lit(True)}).withColumn("mb", every("mbs")).select(*columns)
+        right = others.withColumns({"mb": number(F.col("mbs")), "left": F.lit(False)}).withColumn("ob", every("obs")).select(*columns)
+        more = scratch.keep(_between_components(left.unionAll(right).join(wanted, "node"), minhash, threshold, miss, batch_size))
+        if not more.isEmpty():
+            links = scratch.keep(links.union(more))
             found = components(links, scratch)
 
     # every row by its set
