@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,6 +38,11 @@ _WORD = "[a-z0-9]+"
 _PIECE = "[A-Za-z0-9]+|[^A-Za-z0-9]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, computed once: inside a lambda an expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """All lower-case words, in order; only ASCII letters and digits make words."""
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
@@ -83,8 +89,7 @@ def published_month(identifier: Column) -> Column:
     return F.when(year == "", F.lit("0000-00")).otherwise(F.concat(F.when(year.cast("int") >= 91, F.lit("19")).otherwise(F.lit("20")), year, F.lit("-"), part(2)))
 
 
-def title_phrases(title_words: Column) -> Column:
-    """Two-word, then three-word phrases that start and end with a content word that is no weak edge."""
+def _phrases(title_words: Column) -> Column:
     edge = lambda w: is_content_word(w) & ~w.isin(*WEAK_EDGES)
 
     def of(n: int) -> Column:
@@ -96,6 +101,11 @@ def title_phrases(title_words: Column) -> Column:
     return F.concat(of(2), of(3))
 
 
+def title_phrases(title_words: Column) -> Column:
+    """Two-word, then three-word phrases that start and end with a content word that is no weak edge."""
+    return let(title_words, _phrases)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Inserts, deletes, replacements and swaps of neighbours, with no edit inside a swapped pair."""
 
@@ -121,45 +131,59 @@ def _is_word(piece: Column) -> Column:
 
 
 def _hit(piece: Column, query_terms: Column) -> Column:
-    return _is_word(piece) & F.array_contains(query_terms, stem(F.lower(piece)))
+    return _is_word(piece) & F.array_contains(query_terms, let(F.lower(piece), stem))
+
+
+def _hits(pieces: Column, query_terms: Column) -> Column:
+    """1-based places of the pieces that match."""
+    return F.filter(F.transform(pieces, lambda p, i: F.when(_hit(p, query_terms), i + 1)), lambda i: i.isNotNull())
 
 
-def _marked(pieces: Column, query_terms: Column) -> Column:
-    """array<struct<text, hit>>: hits on their own, all between two hits as one."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: (i <= F.size(pieces)) & _hit(F.get(pieces, i - 1), query_terms))
+def _marked(pieces: Column, at: Column) -> Column:
+    """array<struct<text, hit>>: the pieces at the places ``at`` on their own, all between two of them as one."""
     piece = lambda text, hit: F.struct(text.alias("text"), F.lit(hit).alias("hit"))
     between = lambda lo, hi: F.array_join(F.slice(pieces, lo + 1, F.greatest(hi - lo - 1, F.lit(0))), "")
-    before = lambda k: F.coalesce(F.get(at, k - 1), F.lit(0))
-    inner = F.flatten(F.transform(at, lambda i, k: F.array(piece(between(before(k), i), False), piece(F.get(pieces, i - 1), True))))
+    inner = F.flatten(F.transform(at, lambda i, k: F.array(piece(between(F.coalesce(F.get(at, k - 1), F.lit(0)), i), False), piece(F.get(pieces, i - 1), True))))
     tail = piece(between(F.coalesce(F.get(at, F.size(at) - 1), F.lit(0)), F.size(pieces) + 1), False)
     return F.filter(F.concat(inner, F.array(tail)), lambda p: F.length(p["text"]) > 0)
 
 
+def _split(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+
 def highlight(text: Column, query_terms: Column) -> Column:
     """The whole text in pieces, those that match the query marked."""
-    return _marked(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), query_terms)
+    return let(_split(text), lambda pieces: let(_hits(pieces, query_terms), lambda at: _marked(pieces, at)))
 
 
 def window_start(hits: Column, size: int) -> Column:
     """0-based start of the first window of ``size`` entries with most hits; 0 when there are no more entries than that."""
-    n = F.size(hits) - size
-    sums = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(0)) + 1), lambda s: F.aggregate(F.slice(hits, s, size), F.lit(0), lambda a, x: a + x))
-    return F.when(n <= 0, F.lit(0)).otherwise(F.array_position(sums, F.array_max(sums)).cast("int") - 1)
+    total = lambda h: F.aggregate(h, F.lit(0), lambda a, x: a + x)
+    sums = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - size, F.lit(0)) + 1), lambda s: total(F.slice(h, s, size)))
+    best = lambda h: let(sums(h), lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
+    return let(hits, lambda h: F.when(F.size(h) <= size, F.lit(0)).otherwise(best(h)))
 
 
 def snippet(text: Column, query_terms: Column, max_words: int = SNIPPET_WORDS) -> Column:
     """Struct of the window's start (in words), its hits, and the pieces with dots where text is left out."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: (i <= F.size(pieces)) & _is_word(F.get(pieces, i - 1)))
-    hits = F.transform(at, lambda i: F.when(_hit(F.get(pieces, i - 1), query_terms), 1).otherwise(0))
-    first = window_start(hits, max_words)
-    last = F.least(first + max_words, F.size(at))
-    begin = F.when(first > 0, F.get(at, first)).otherwise(F.lit(1))
-    end = F.when(last < F.size(at), F.get(at, last - 1)).otherwise(F.size(pieces))
-    dots = lambda text, when: F.when(when, F.array(F.struct(F.lit(text).alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast("array<struct<text:string,hit:boolean>>"))
-    shown = _marked(F.slice(pieces, begin, F.greatest(end - begin + 1, F.lit(0))), query_terms)
-    return F.struct(
-        first.alias("start"),
-        F.aggregate(F.slice(hits, first + 1, max_words), F.lit(0), lambda a, x: a + x).alias("hits"),
-        F.concat(dots("... ", begin > 1), shown, dots(" ...", end < F.size(pieces))).alias("pieces"),
-    )
+    dots = lambda mark, when: F.when(when, F.array(F.struct(F.lit(mark).alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast("array<struct<text:string,hit:boolean>>"))
+
+    def cut(pieces: Column, places: Column, hits: Column, first: Column) -> Column:
+        last = F.least(first + max_words, F.size(places))
+        begin = F.when(first > 0, F.get(places, first)).otherwise(F.lit(1))
+        end = F.when(last < F.size(places), F.get(places, last - 1)).otherwise(F.size(pieces))
+        shown = let(F.slice(pieces, begin, F.greatest(end - begin + 1, F.lit(0))), lambda p: let(_hits(p, query_terms), lambda at: _marked(p, at)))
+        return F.struct(
+            first.alias("start"),
+            F.aggregate(F.slice(hits, first + 1, max_words), F.lit(0), lambda a, x: a + x).alias("hits"),
+            F.concat(dots("... ", begin > 1), shown, dots(" ...", end < F.size(pieces))).alias("pieces"),
+        )
+
+    def found(pieces: Column) -> Column:
+        # only the words, each with its place and whether it matches
+        marked = F.filter(F.transform(pieces, lambda p, i: F.when(_is_word(p), F.struct((i + 1).alias("place"), F.when(_hit(p, query_terms), 1).otherwise(0).alias("hit")))), lambda w: w.isNotNull())
+        of = lambda w: let(w["hit"], lambda hits: let(window_start(hits, max_words), lambda first: cut(pieces, w["place"], hits, first)))
+        return let(marked, of)
+
+    return let(_split(text), found)

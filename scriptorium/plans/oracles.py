@@ -134,9 +134,9 @@ best AS (
   SELECT id, arg_max(k, (total, -k)) AS start, any_value(words) AS words FROM (SELECT id, k, words, sum(hit) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN CURRENT ROW AND 44 FOLLOWING) AS total FROM word)
   WHERE k <= greatest(words - 45, 0) GROUP BY id),
 span AS (
-  SELECT best.id, start, words, CASE WHEN start > 0 THEN b.n ELSE 1 END AS lo, CASE WHEN start + 45 < words THEN e.n ELSE 1000000000 END AS hi,
+  SELECT best.id, start, best.words, CASE WHEN start > 0 THEN b.n ELSE 1 END AS lo, CASE WHEN start + 45 < best.words THEN e.n ELSE 1000000000 END AS hi,
     (SELECT coalesce(sum(hit), 0) FROM word w WHERE w.id = best.id AND w.k BETWEEN start AND start + 44) AS hits
-  FROM best JOIN word b ON b.id = best.id AND b.k = start JOIN word e ON e.id = best.id AND e.k = least(start + 44, words - 1)),
+  FROM best JOIN word b ON b.id = best.id AND b.k = start JOIN word e ON e.id = best.id AND e.k = least(start + 44, best.words - 1)),
 shown AS (
   SELECT s.id, s.start, s.hits, CASE WHEN s.lo > 1 THEN '... ' ELSE '' END AS dots, CASE WHEN s.start + 45 < s.words THEN ' ...' ELSE '' END AS more, p.n, p.p, p.hit
   FROM span s JOIN piece p ON p.id = s.id AND p.n BETWEEN s.lo AND s.hi)"""
