@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -71,6 +72,26 @@ def stem(word: Column) -> Column:
     )
 
 
+def plain_words(text: str) -> list[str]:
+    """``words`` for one short string on the driver."""
+    return re.findall(_WORD, text.lower())
+
+
+def plain_content_word(word: str) -> bool:
+    return len(word) > 1 and word not in STOPWORDS
+
+
+def plain_stem(word: str) -> str:
+    """``stem`` for one word on the driver (a test holds both to the same results)."""
+    if len(word) <= 3 or word in UNCHANGED:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    rules = ((len(word) > 4 and word.endswith("ies"), 3, "y"), (word.endswith(("sses", "xes", "ches", "shes", "zes")), 2, ""), (word[-1] == "s" and word[-2:] not in ("ss", "us", "is"), 1, ""))
+    cut, end = next(((n, e) for holds, n, e in rules if holds), (0, ""))
+    return word[: len(word) - cut] + end
+
+
 def terms(text: Column) -> Column:
     """Stems of the content words, order and repeats kept."""
     return F.transform(content_words(text), stem)

@@ -49,13 +49,9 @@ def query_words(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([(0, query)], "qid int, query string")
 
 
-def result_rows(page: DataFrame, store: DataFrame, query_terms: list[str]) -> DataFrame:
-    """The page's documents with marked titles and snippets; only these documents are read from the store.
-
-    page: id, score (at most one page of rows). store: id, arxiv_id, title, abstract, authors, primary_category, published.
-    """
+def marked_rows(rows: DataFrame, query_terms: list[str]) -> DataFrame:
+    """Result columns of documents, their titles and snippets marked."""
     terms = F.array(*(F.lit(t) for t in query_terms)).cast("array<string>")
-    rows = F.broadcast(page.select("id", "score")).join(store, "id")
     return rows.select(
         "id",
         "arxiv_id",
@@ -65,5 +61,14 @@ def result_rows(page: DataFrame, store: DataFrame, query_terms: list[str]) -> Da
         "authors",
         F.col("primary_category").alias("category"),
         "published",
-        "score",
-    ).orderBy(F.desc("score"), "id")
+    )
+
+
+def result_rows(page: DataFrame, store: DataFrame, query_terms: list[str]) -> DataFrame:
+    """The page's documents with marked titles and snippets; only these documents are read from the store.
+
+    page: id, score (at most one page of rows). store: id, arxiv_id, title, abstract, authors, primary_category, published.
+    """
+    page = page.select("id", "score")
+    rows = store.join(F.broadcast(page.select("id")), "id", "left_semi")
+    return marked_rows(rows, query_terms).join(F.broadcast(page), "id").orderBy(F.desc("score"), "id")

@@ -40,6 +40,15 @@ def scores(posted: DataFrame, terms: DataFrame, stats: DataFrame, query: list[st
     return joined.groupBy("id", "category").agg(F.round(ordered_sum(value), DIGITS).alias("score"))
 
 
+def stored_scores(posted: DataFrame, idf: dict[str, float], mode: str = "bm25") -> DataFrame:
+    """``scores`` on stored postings that hold category and norm themselves, with the query terms' idf at hand: no join."""
+    known = posted.where(F.col("term").isin(*idf)) if idf else posted.limit(0)
+    value = F.lit(0.0)
+    for term, x in idf.items():
+        value = F.when(F.col("term") == term, F.lit(x)).otherwise(value)
+    return known.withColumn("idf", value).groupBy("id", "category").agg(F.round(ordered_sum(contribution(mode)), DIGITS).alias("score"))
+
+
 def rank(scored: DataFrame, category: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
     """The page of the ranking: score descending, id ascending. Idf stays that of the whole collection."""
     kept = scored.where(F.col("category") == category) if category else scored

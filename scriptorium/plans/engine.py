@@ -46,7 +46,8 @@ class SearchEngine:
         posted = ix.postings(docs)
         coll = ix.collection(docs)
         tables = {
-            "postings": posted,
+            # category and norm stand with each posting, so that scoring needs no join
+            "postings": posted.join(ix.doc_stats(docs).select("id", "category", "norm"), "id").select("term", "id", "tf", "category", "norm"),
             "term_stats": ix.term_stats(posted, coll),
             "doc_stats": ix.doc_stats(docs),
             "vocabulary": ix.vocabulary(corpus),
@@ -112,18 +113,33 @@ class SearchEngine:
 
     # --- search
 
-    def correct_query(self, text: str, correct: bool = True) -> tuple[list[str], str | None]:
-        row = query.correct_queries(query.query_words(self.spark, text), self.tables["term_stats"], self.tables["vocabulary"], correct, self.rare_word_factor).first()
-        return list(row.content), row.corrected
-
-    def stems(self, words: list[str]) -> list[str]:
+    def lookup(self, words: list[str]) -> tuple[dict[str, tuple[int, float]], set[str]]:
+        """Document frequency and idf of the words' stems, and which words the vocabulary holds: one job on a few rows."""
         if not words:
-            return []
-        one = self.spark.createDataFrame([(words,)], "w array<string>")
-        return list(one.select(F.transform("w", T.stem).alias("t")).first().t)
+            return {}, set()
+        stems = {T.plain_stem(w) for w in words}
+        indexed = self.tables["term_stats"].where(F.col("term").isin(*stems)).select(F.lit(True).alias("is_term"), F.col("term").alias("key"), "df", "idf")
+        known = self.tables["vocabulary"].where(F.col("key").isin(*set(words))).select(F.lit(False).alias("is_term"), "key", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("idf"))
+        rows = indexed.unionAll(known).collect()
+        return {r.key: (r.df, r.idf) for r in rows if r.is_term}, {r.key for r in rows if not r.is_term}
+
+    def correct_query(self, text: str, correct: bool = True) -> tuple[list[str], str | None]:
+        """The content words, corrected, and the corrected text if it changed. The vocabulary is only searched for unknown words."""
+        words = T.plain_words(text)
+        content = [w for w in words if T.plain_content_word(w)]
+        fixes: dict[str, str] = {}
+        if correct and content:
+            df, known = self.lookup(content)
+            doubtful = sorted({w for w in content if w not in known and len(w) > 2})
+            if doubtful:
+                asked = self.spark.createDataFrame([(w,) for w in doubtful], "word string")
+                fixes = {r.word: r.replacement for r in query.correct_words(asked, self.tables["term_stats"], self.tables["vocabulary"], self.rare_word_factor).collect()}
+        out = [fixes.get(w, w) for w in words]
+        return [fixes.get(w, w) for w in content], " ".join(out) if fixes else None
 
     def scores(self, terms: list[str], mode: str = "bm25") -> DataFrame:
-        return ranking.scores(self.tables["postings"], self.tables["term_stats"], self.tables["doc_stats"], terms, mode)
+        df, _ = self.lookup(terms)
+        return ranking.stored_scores(self.tables["postings"], {t: df[t][1] for t in terms if t in df}, mode)
 
     def rank(self, terms: list[str], category: str | None = None, limit: int = 10, offset: int = 0) -> tuple[int, list[tuple[int, float]]]:
         scored = self.scores(terms)
@@ -133,15 +149,15 @@ class SearchEngine:
     def search(self, text: str, category: str | None = None, limit: int = 10, offset: int = 0, correct: bool = True) -> dict:
         began = time.perf_counter()
         content, corrected = self.correct_query(text, correct)
-        terms = self.stems(content)
+        terms = list(dict.fromkeys(map(T.plain_stem, content)))
         total, page = self.rank(terms, category, limit, offset) if terms else (0, [])
         results = []
         if page:
-            ids = self.spark.createDataFrame(page, "id long, score double")
-            for r in query.result_rows(ids, self.store, terms).collect():
-                row = r.asDict(recursive=True)
-                row.pop("id")
-                results.append(row | {"score": half_even(row["score"], 3)})
+            rows = query.marked_rows(self.store.where(F.col("id").isin(*(i for i, _ in page))), terms)
+            found = {r.id: r.asDict(recursive=True) for r in rows.collect()}
+            for i, score in page:
+                found[i].pop("id")
+                results.append(found[i] | {"score": half_even(score, 3)})
         return {"query": text, "corrected_query": corrected, "total": total, "offset": offset, "took_ms": round((time.perf_counter() - began) * 1000, 2), "results": results}
 
     def suggest(self, text: str, limit: int = 8) -> list[str]:

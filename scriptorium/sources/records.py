@@ -38,7 +38,7 @@ def read_oai(spark: SparkSession, path: str) -> DataFrame:
 
 def oai_control(spark: SparkSession, path: str) -> DataFrame:
     """Per page: its error code and resumption token ('' if none)."""
-    pages = spark.read.option("wholetext", "true").text(path)
+    pages = spark.read.text(path, wholetext=True)
     at = lambda what: F.xpath_string("value", F.lit(what))
     return pages.select(F.trim(at("string(//*[local-name()='error']/@code)")).alias("error"), F.trim(at("string(//*[local-name()='resumptionToken'])")).alias("token"))
 

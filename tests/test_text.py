@@ -91,3 +91,12 @@ def test_window_start(spark):
     for r in rows:
         starts = range(max(1, len(r.x) - 4))
         assert r.y == max(starts, key=lambda s: (sum(r.x[s : s + 5]), -s))
+
+
+def test_plain_forms(spark):
+    rng = random.Random(23)
+    ends = ("", "s", "es", "ies", "sses", "xes", "ches", "shes", "zes", "ss", "us", "is")
+    words = [*T.IRREGULAR, *T.UNCHANGED, *T.STOPWORDS, *("".join(rng.choice("abchsxz") for _ in range(rng.randint(1, 4))) + rng.choice(ends) for _ in range(500))]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s"), T.is_content_word(F.col("w")).alias("c")).collect()
+    assert all((T.plain_stem(r.w), T.plain_content_word(r.w)) == (r.s, r.c) for r in rows)
+    assert one(spark, "Self-Attention, 3D na\u00efve", T.words) == T.plain_words("Self-Attention, 3D na\u00efve")
