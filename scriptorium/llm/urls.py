@@ -28,7 +28,9 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, action string")
+    """The rules as a DataFrame, made of literals."""
+    made = [F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(("host", "path", "action"), r, strict=True))) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*made)))
 
 
 def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
