@@ -189,7 +189,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, {_
     "normalise_docs": f"""WITH {RECORDS} SELECT id AS arxiv_id, {_clean('title')} AS title, {_clean('abstract')} AS abstract, {_clean('authors')} AS authors, {_clean('categories')} AS categories,
   CASE WHEN {_clean('categories')} = '' THEN 'unknown' ELSE split_part({_clean('categories')}, ' ', 1) END AS primary_category, {MONTH} AS published FROM rec""",
     "published_month": f"WITH {RECORDS} SELECT doc_id, id, {MONTH} AS published FROM rec",
-    "ingest_dedup": f"""WITH {RECORDS}, old AS (SELECT id FROM rec WHERE doc_id % 2 = 0),
+    "ingest_dedup": f"""WITH {RECORDS}, old AS (SELECT id FROM rec WHERE starts_with(categories, 'src0 ')),
 first AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS k FROM rec WHERE title <> '' AND abstract <> '')
 SELECT id, doc_id, title FROM first WHERE k = 1 AND id NOT IN (SELECT id FROM old)""",
     "store_count": "SELECT count(*) AS n FROM documents",
