@@ -98,11 +98,14 @@ class MarkovRatio:
 def corpus_words(docs: DataFrame, n: int) -> list[str]:
     """A bounded sample of runs of ASCII letters in the corpus: ordinary by their label, since they hold no digit.
 
-    It comes from at most ``n`` documents, those at the start of the order by a hash of the identifier.
+    One word each of about ``n`` documents, drawn by a hash of the identifier at a rate that the number of rows sets; at
+    most 2n words reach the driver.
     """
-    some = docs.where(F.length("text") < 20_000).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n)
+    rate = n / max(n, docs.count())
+    drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < round(rate * (1 << 30))) & F.col("text").isNotNull())
     word = F.lit(r"(?<![\w+/=-])[A-Za-z][a-z]{7,40}(?![\w+/=-])")
-    return sorted(r[0] for r in some.select(F.try_element_at(F.regexp_extract_all("text", word, F.lit(0)), F.lit(1))).collect() if r[0])
+    found = drawn.select(F.try_element_at(F.regexp_extract_all("text", word, F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
+    return sorted(r.word for r in found.limit(2 * n).collect())
 
 
 def train(rows: DataFrame, sample_docs: int, samples: int, seed: int) -> MarkovRatio:
