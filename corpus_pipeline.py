@@ -15,7 +15,7 @@ from scriptorium.llm._shared import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go: without a letter, or below its calibrated threshold."""
+    """Documents that the language model rejects go: without a letter, or less familiar than its threshold for their length."""
     model = language.fit(docs)
     return language.predict(docs, model, prefix="_language_").where("not _language_rejected").select(*(f"`{c}`" for c in docs.columns))
 

@@ -18,6 +18,35 @@ def test_accuracy_and_fold(spark):
     assert sum(r.rejected for r in got) <= 0.02 * len(got)
 
 
+def test_unlearned_texts_are_rejected(spark):
+    """Texts of an unlearned language and letter noise go, texts of the learned ones stay."""
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "xqzj kvwp qqxz vbkj wpfj zzxq jkvq xwzk qjvx kzzp",
+    ]
+    assert [x for x in strange if not model.predict(x)[2]] == []
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert sum(model.predict(r.text)[2] for r in rows) <= 0.005 * len(rows)
+
+
+def test_thresholds_by_length():
+    """Each class has its own quantile, which at least the tenth lowest example sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = np.repeat([10, 100, 1000], [2000, 2000, 500])
+    values = rng.normal(0, 1, len(sizes)) - np.where(sizes == 10, 5, 0)
+    model = language.Model(["a"], np.zeros((2, 1), np.float32), np.zeros(1, np.float32), 1.0, np.zeros((1, 2), np.float32))
+    model.calibrate(sizes, values, 0.01)
+    assert list(model.starts) == [0, 32]
+    assert list(model.thresholds) == [np.sort(values[sizes == 10])[19], np.sort(values[sizes > 10])[24]]
+
+
 def test_held_out_labels_are_not_read(spark):
     import zlib
 
