@@ -5,8 +5,8 @@ apart by path and content. Over the pages of one host each token has an occurren
 page). Tokens with the same vector form an equivalence class. Classes that occur on enough of the host's pages are valid;
 the class of tokens that occur once on every page is the root of the template, ordered by mean position, and the other
 valid classes nest between its tokens. What lies between template tokens are the slots. A text node that belongs to a
-valid class is template text (a notice, a label), unless it lies in the article. The article is the slots inside
-``article`` or ``main``; on pages without either it is the container of the host's template that holds most text per
+valid class is template text (a notice, a label), in the article too; only an article that is template text throughout, as
+on a host of copies, stays. The article is the slots inside ``article`` or ``main``; on pages without either it is the container of the host's template that holds most text per
 page. Slots in menus, headers, footers, sidebars, notices, adverts, forms and comments never belong to it.
 
 Scale: an occurrence vector is never built. Each task sums, per host and token, two 31-bit hashes of the page times the
@@ -207,15 +207,18 @@ def extract_page(html: str | None, root: list[int] | None, valid: list[int] | No
     rank = {t: i for i, t in enumerate(root or ())}
     template = frozenset(valid or ())
     use_main = not has_article and main is not None and any(e[0] == "block" and e[1].container == main for e in events)
+    repeated = [e[0] == "block" and _hash("text", str(e[1].path), e[2]) in template for e in events]
+    # copies of one page, not a template
+    copied = has_article and all(r for e, r in zip(events, repeated, strict=True) if e[0] == "block" and e[1].article and not e[1].away)
     slot, found, text = -1, [], []
-    for event in events:
+    for event, fixed in zip(events, repeated, strict=True):
         if event[0] == "tag":
             # template tokens out of their order do not begin a slot
             if rank.get(event[1].path, -1) > slot:
                 slot = rank[event[1].path]
             continue
         _, node, block = event
-        if not node.article and _hash("text", str(node.path), block) in template:
+        if fixed and not (copied and node.article):
             continue
         wanted = not node.away and (node.article if has_article else node.container == main if use_main else True)
         if wanted:

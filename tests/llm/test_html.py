@@ -31,6 +31,23 @@ def test_article(spark):
     assert {i: [" ".join(x.split()) for x in t.split("\n")] for i, t in got.items()} == {i: [" ".join(x.split()) for x in w] for i, w in want.items()}
 
 
+def test_template_inside_article(spark):
+    """Text that a host repeats inside article or main is template text; pages that are copies of each other stay whole."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for i in range(12):
+        p = prose(rng, 30)
+        body = f"<main><div class='top'>Home Sport Weather</div><article><h1>Title {i}</h1><p>{p}</p><p class='more'>Read more</p></article></main>"
+        rows.append((i, f"http://h.com/{i}", page(rng, "h", body)))
+        want[i] = f"Title {i}\n{p}"
+    copy = page(rng, "c", "<article><p>One story.</p><p>Its end.</p></article>")
+    rows += [(20 + i, f"http://copies.com/{i}", copy) for i in range(4)]
+    # two pages are too few for a template
+    rows += [(30 + i, f"http://few.com/{i}", page(rng, "f", f"<article><p>Text {i}.</p><p>Read more</p></article>")) for i in range(2)]
+    want |= {20 + i: "One story.\nIts end." for i in range(4)} | {30 + i: f"Text {i}.\nRead more" for i in range(2)}
+    assert run(spark, rows) == want
+
+
 def test_template_without_article(spark):
     """No semantic element: the container with most text is the article, repeated blocks are template."""
     rng = random.Random(15)
