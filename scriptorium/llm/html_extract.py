@@ -6,8 +6,9 @@ page). Tokens with the same vector form an equivalence class. Classes that occur
 the class of tokens that occur once on every page is the root of the template, ordered by mean position, and the other
 valid classes nest between its tokens. What lies between template tokens are the slots. A text node that belongs to a
 valid class is template text (a notice, a label), in the article too; only an article that is template text throughout, as
-on a host of copies, stays. The article is the slots inside ``article`` or ``main``; on pages without either it is the container of the host's template that holds most text per
-page. Slots in menus, headers, footers, sidebars, notices, adverts, forms and comments never belong to it.
+on a host of copies, stays. The article is the slots inside ``article`` or ``main``; on pages without either it is the whole subtree of a container of the host's template: the
+smallest one that holds 90 % of the host's text, with all elements below it, where a list or a quote is never that container;
+the text that stands directly in the elements around it belongs to the article as well. Slots in menus, headers, footers, sidebars, notices, adverts, forms and comments never belong to it.
 
 Scale: an occurrence vector is never built. Each task sums, per host and token, two 31-bit hashes of the page times the
 count, so equal sums mean equal vectors (but for a chance of 2^-62 a pair); sums, page counts, positions and text lengths
@@ -54,6 +55,10 @@ _AWAY_NAME = re.compile(
     re.I,
 )
 _ARTICLE = frozenset(("article", "main"))
+#: Containers that are parts of an article, never the article.
+_PARTS = frozenset("ul ol dl blockquote".split())
+#: Share of a host's text that the main container must hold.
+_MAIN_SHARE = 0.9
 
 SCHEMA = "page_id long, url string, text string, slots array<struct<slot:int,main:boolean,text:string>>"
 _SLOTS = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.bool_()), ("text", pa.string())]))
@@ -65,20 +70,26 @@ def _hash(*parts: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "away", "article", "container")
+    __slots__ = ("tag", "path", "away", "article", "box", "up", "main", "chars")
 
-    def __init__(self, tag: str, name: str, up: Node | None):
-        self.tag = tag
+    def __init__(self, tag: str, name: str, up: Node | None, main: int | None = None):
+        self.tag, self.up, self.chars = tag, up, 0
         self.path = _hash(str(up.path) if up else "", tag, name)
         inside = bool(up and up.article)
         self.away = bool(up and up.away) or tag in _AWAY or tag == "header" and not inside or tag not in ("html", "body", *_ARTICLE) and bool(name) and bool(_AWAY_NAME.search(name))
         self.article = inside or tag in _ARTICLE
-        self.container = self.path if not up or tag in _STOPS or tag == "td" else up.container
+        #: the innermost container, and whether the main container is this element or around it
+        self.box = self if not up or tag in _STOPS or tag == "td" else up.box
+        self.main = bool(up and up.main) or self.path == main
 
 
-def walk(html: str):
+#: The path of what is around all elements.
+_ROOT = Node("", "", None).path
+
+
+def walk(html: str, main: int | None = None):
     """Events in page order: ("tag", node) for an opened element, ("text", node, words), ("break",) where a block ends."""
-    root = Node("", "", None)
+    root = Node("", "", None, main)
     stack = [root]
 
     def close(tags, stops) -> None:
@@ -107,7 +118,7 @@ def walk(html: str):
                 close(("p",), _STOPS)
             if tag in _CLOSES:
                 close(_CLOSES[tag], _STOPS - {"tr"})
-        node = Node(tag, " ".join(a or b or c for _, a, b, c in _ATTR.findall(m["attrs"])), stack[-1])
+        node = Node(tag, " ".join(a or b or c for _, a, b, c in _ATTR.findall(m["attrs"])), stack[-1], main)
         yield "tag", node
         if tag == "br":
             yield "text", stack[-1], " "
@@ -115,11 +126,11 @@ def walk(html: str):
             stack.append(node)
 
 
-def blocks(html: str):
-    """("tag", path) and ("block", node, text): a block's text is decoded, its white space single."""
+def blocks(html: str, main: int | None = None):
+    """("tag", node) and ("block", node, text): a block's text is decoded, its white space single."""
     parts: list[str] = []
     at: Node | None = None
-    for event in walk(html):
+    for event in walk(html, main):
         if event[0] == "text":
             if at is None and not event[2].isspace():
                 at = event[1]
@@ -138,20 +149,35 @@ def blocks(html: str):
 
 
 def _page_tokens(html: str) -> dict[int, list[int]]:
-    """token to [count, sum of positions, characters of text in this container]."""
-    out: dict[int, list[int]] = {}
+    """token to [count, sum of positions, characters of text below this container]; the root counts as a token."""
+    out: dict[int, list[int]] = {_ROOT: [1, 0, 0]}
     position = 0
+    boxes: dict[int, Node] = {}
     for event in blocks(html):
+        if not boxes:
+            root = event[1]
+            while root.up:
+                root = root.up
+            boxes[id(root)] = root
         position += 1
         if event[0] == "tag":
-            token, chars = event[1].path, 0
+            token = event[1].path
+            if event[1].box is event[1]:
+                boxes[id(event[1])] = event[1]
         else:
             token = _hash("text", str(event[1].path), event[2])
             if not event[1].away:
-                out.setdefault(event[1].container, [0, 0, 0])[2] += len(event[2])
+                box = event[1].box
+                boxes.setdefault(id(box), box).chars += len(event[2])
         x = out.setdefault(token, [0, 0, 0])
         x[0] += 1
         x[1] += position
+    # in page order the inner elements come after those around them
+    for box in reversed(boxes.values()):
+        if box.tag not in _PARTS:
+            out[box.path][2] += box.chars
+        if box.up:
+            box.up.box.chars += box.chars
     return out
 
 
@@ -194,19 +220,31 @@ def templates(sums: DataFrame, hosts: DataFrame, *, min_share: float = 0.5, min_
         F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("total")).alias("place"), "token", "chars"))).alias("tokens"),
     )
     is_root = (F.col("pages") == F.col("host_pages")) & (F.col("total") == F.col("host_pages"))
-    return classes.groupBy("host").agg(
-        F.flatten(F.collect_list(F.when(is_root, F.col("tokens.token")))).alias("root"),
+    found = classes.groupBy("host").agg(
+        F.flatten(F.collect_list(F.when(is_root, F.col("tokens")))).alias("root"),
         F.flatten(F.collect_list(F.col("tokens.token"))).alias("valid"),
-        F.max(F.when(is_root, F.array_max(F.transform("tokens", lambda t: F.struct(t.chars.alias("chars"), t.token.alias("token")))))).getField("token").alias("main"),
     )
+    # of containers around each other with equal text the inner one begins later; the page's root holds all text
+    all_text = F.array_max(F.transform("root", lambda t: t.chars))
+    holders = F.filter("root", lambda t: (t.chars > 0) & (t.chars >= _MAIN_SHARE * F.col("all_text")))
+    main = F.array_min(F.transform(holders, lambda t: F.struct(t.chars.alias("chars"), (-t.place).alias("place"), t.token.alias("token"))))
+    return found.withColumn("all_text", all_text).select("host", F.array_remove("root.token", _ROOT).alias("root"), "valid", main.getField("token").alias("main"))
 
 
 def extract_page(html: str | None, root: list[int] | None, valid: list[int] | None, main: int | None) -> tuple[str, list[dict]]:
-    events = list(blocks(html)) if html else []
+    events = list(blocks(html, main)) if html else []
     has_article = any(e[0] == "block" and e[1].article and not e[1].away for e in events)
     rank = {t: i for i, t in enumerate(root or ())}
     template = frozenset(valid or ())
-    use_main = not has_article and main is not None and any(e[0] == "block" and e[1].container == main for e in events)
+    use_main = not has_article and main is not None and any(e[0] == "block" and e[1].main for e in events)
+    around = set()
+    if use_main:
+        for e in events:
+            if e[0] == "tag" and e[1].path == main:
+                up = e[1].up
+                while up:
+                    around.add(up.box.path)
+                    up = up.up
     repeated = [e[0] == "block" and _hash("text", str(e[1].path), e[2]) in template for e in events]
     # copies of one page, not a template
     copied = has_article and all(r for e, r in zip(events, repeated, strict=True) if e[0] == "block" and e[1].article and not e[1].away)
@@ -220,7 +258,7 @@ def extract_page(html: str | None, root: list[int] | None, valid: list[int] | No
         _, node, block = event
         if fixed and not (copied and node.article):
             continue
-        wanted = not node.away and (node.article if has_article else node.container == main if use_main else True)
+        wanted = not node.away and (node.article if has_article else node.main or node.box.path in around if use_main else True)
         if wanted:
             text.append(block)
         if found and found[-1]["slot"] == slot and found[-1]["main"] == wanted:

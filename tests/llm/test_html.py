@@ -60,6 +60,25 @@ def test_template_without_article(spark):
     assert run(spark, rows) == want
 
 
+def test_article_of_many_containers(spark):
+    """Lists, quotes, tables and sections inside the main container belong to the article, and so does a text before them."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    forms = {
+        "a": "<div id='content'><p>{0}</p><ul><li>{1}</li><li>{2}</li></ul><blockquote>{3}</blockquote><table><tr><td>{4}</td></tr></table></div>",
+        "b": "<div id='content'><section class='one'><p>{0}</p></section><section class='two'><p>{1}</p><p>{2}</p></section><section><p>{3}</p></section><section><p>{4}</p></section></div>",
+        "c": "<div id='head'><h1>T</h1></div><div id='text'><div class='in'>{0}</div><ul><li>{1} {1}</li></ul><div class='in'>{2}</div><div><p>{3}</p></div>{4}</div>",
+        "d": "<div id='content'><p>{0}</p><div class='rest'><p>{1}</p>" + "<p>{2}</p><p>{3}</p><ol><li>{4}</li></ol>" + "</div></div>",
+    }
+    for host, form in forms.items():
+        for i in range(10):
+            ps = [prose(rng, 3 if host == "d" and k == 0 else 25) for k in range(5)]
+            rows.append((len(rows), f"http://{host}.com/{i}", page(rng, host, form.format(*ps))))
+            ps[1] = f"{ps[1]} {ps[1]}" if host == "c" else ps[1]
+            want[rows[-1][0]] = "\n".join(ps)
+    assert run(spark, rows) == want
+
+
 def test_classes(spark):
     """Occurrence vectors by hand: two tokens are in one class iff they occur equally often on every page."""
     pages = ["<div><p>a</p></div>", "<div><p>b</p><p>c</p></div>", "<div></div>"]
