@@ -5,6 +5,13 @@ normalised (A-Z lower-cased, everything but letters and digits a space) and beco
 A and B the coefficient is 2 |A & B| / (|A| + |B|); it reaches t only if t / (2 - t) <= |A| / |B| <= (2 - t) / t, so only
 templates within these size bounds are candidates, and a passage without any has its bigrams never built.
 
+A licence inside a longer text, over several lines or blocks, is found by windows over the words of the whole text. A window
+begins at a bigram of the template and has t / (2 - t) to (2 - t) / t times its words; for templates of fewer than
+``NOTICE`` words no fewer than the template, so that a window never leaves out the version that a notice names. Only templates
+of which the text holds t / (2 - t) of all bigrams can be reached, and only texts with enough of a template's words have
+their bigrams built. Of overlapping windows the best stays. A window that overlaps a passage found for the same licence, or
+one at least as good for another, is not reported; passages of other licences that a better window overlaps are dropped.
+
 Scale: one pass, no shuffle; the templates are a parameter and small.
 
 Defined results: null and empty texts, and passages of one word, have no bigrams and match nothing; ties go to the longer
@@ -22,6 +29,9 @@ from ._shared import LOWER_BYTES, id_text, texts
 
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalnum() or b in b"\n\x01" else 0x20 for b in LOWER_BYTES)
 
+#: Templates of fewer words are notices.
+NOTICE = 20
+
 # The wording of common licences and of the notices that name them.
 TEMPLATES = {
     "MIT": (
@@ -49,6 +59,7 @@ TEMPLATES = {
     ),
     "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
     ),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
@@ -83,6 +94,15 @@ class Index:
         self.by_size = [[(name, s) for name, s in self.sets if 2 * min(n, len(s)) / (n + len(s)) >= threshold] for n in range(top + 1)]
         self.least = next((n for n, c in enumerate(self.by_size) if c), top + 1)
         self.known = frozenset(g for _, s in self.sets for g in s)
+        #: Per template: name, bigrams, how many of them a match needs, its words, how many of these may be missing, length bounds.
+        self.sought = []
+        for name, t in ((name, normalise(t)) for name, texts_ in sorted(templates.items()) for t in texts_):
+            if s := bigrams(t):
+                words = t.replace(b"\x01", b" ").split()
+                need = next(n for n in range(len(s) + 1) if 2 * n / (n + len(s)) >= threshold)
+                least = len(words) if len(words) < NOTICE else int(len(words) * threshold / (2 - threshold))
+                # a missing word that is not the first takes a bigram of its own with it
+                self.sought.append((name, s, need, frozenset(words), len(s) - need + 1, least, int(len(words) * (2 - threshold) / threshold)))
 
     def best(self, passage: bytes) -> tuple[float, int, str] | None:
         """(Dice, size, name) of the best template within the size bounds, if it reaches the threshold."""
@@ -96,24 +116,61 @@ class Index:
         found = [f for f in found if f[0] >= self.threshold]
         return min(found, key=lambda f: (-f[0], -f[1], f[2])) if found else None
 
+    def windows(self, words: list[bytes]) -> list[tuple[float, int, str, int, int]]:
+        """(Dice, size, name, first word, end) of the best windows, none overlapping another."""
+        present = set(words)
+        sought = [x for x in self.sought if len(x[3] - present) <= x[4]]
+        if not sought:
+            return []
+        grams = list(zip(words, words[1:], strict=False))
+        found = []
+        for name, s, need, _, _, least, most in sought:
+            hits = [i for i, g in enumerate(grams) if g in s]
+            for k in range(len(hits) - need + 1):
+                first = hits[k]
+                # too far apart for one window
+                if hits[k + need - 1] - first > most - 2:
+                    continue
+                seen, common, best = set(), 0, None
+                for i in range(first, min(len(grams), first + most - 1)):
+                    if grams[i] not in seen:
+                        seen.add(grams[i])
+                        common += grams[i] in s
+                    if i + 2 - first >= least and common >= need:
+                        dice = 2 * common / (len(seen) + len(s))
+                        if dice >= self.threshold and (best is None or dice > best[0]):
+                            best = (dice, len(s), name, first, i + 2)
+                if best:
+                    found.append(best)
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+            if all(f[4] <= x[3] or x[4] <= f[3] for x in kept):
+                kept.append(f)
+        return kept
+
     def scan(self, text: str | None) -> list[dict]:
         if not text:
             return []
         lines = normalise(text).split(b"\n")
-        at, out, block, start = 0, {}, [], 0
+        at, block, start = 0, [], 0
+        places: list[tuple[int, int, tuple[int, str], float]] = []
+
+        def count(parts: list[bytes]) -> int:
+            return sum(len(p.replace(b"\x01", b" ").split()) for p in parts)
 
-        def look(passage: bytes, line: int) -> bool:
+        def look(passage: bytes, line: int, before: list[bytes] | tuple = ()) -> bool:
             if (b := self.best(passage)) is None:
                 return False
-            key = (line, b[2])
-            out[key] = max(out.get(key, 0.0), b[0])
+            first = count(lines[:line]) + count(before)
+            places.append((first, first + count([passage]), (line, b[2]), b[0]))
             return True
 
         for at, line in enumerate([*lines, b""]):
             if line.strip(b" \x01"):
                 if not look(line, at) and b"\x01" in line:
-                    for sentence in line.split(b"\x01"):
-                        look(sentence, at)
+                    sentences = line.split(b"\x01")
+                    for i, sentence in enumerate(sentences):
+                        look(sentence, at, sentences[:i])
                 start = start if block else at
                 block.append(line)
             else:
@@ -122,6 +179,21 @@ class Index:
                 block = []
         if not all(x.strip(b" \x01") for x in lines):
             look(b"\n".join(lines), 0)
+        for dice, _, name, first, end in self.windows(b" ".join(lines).replace(b"\x01", b" ").split()):
+            over = [p for p in places if p[0] < end and first < p[1]]
+            others = [p for p in over if p[2][1] != name]
+            if any(p[3] >= dice for p in others):
+                continue
+            places = [p for p in places if p not in others]
+            if len(over) == len(others):
+                ends, line = 0, -1
+                while ends <= first:
+                    line += 1
+                    ends += count([lines[line]])
+                places.append((first, end, (line, name), dice))
+        out: dict[tuple[int, str], float] = {}
+        for *_, key, dice in places:
+            out[key] = max(out.get(key, 0.0), dice)
         return [{"license": name, "dice": dice, "line": line} for (line, name), dice in sorted(out.items())]
 
 

@@ -39,6 +39,29 @@ def test_scan(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "", 4: "MIT", 5: "GPL-3.0", 6: "CC-BY-NC-4.0"}
 
 
+def test_inside_longer_texts():
+    """Licences over several blocks, inside one long line, or with a sentence over two lines."""
+    rng = random.Random(13)
+    index = licenses.Index(licenses.TEMPLATES, 0.8)
+    names = lambda text: {m["license"] for m in index.scan(text)}
+    mit, gpl = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][0]
+    parts = mit.replace(": The above", ":\n\nThe above").replace(". THE SOFTWARE", ".\n\nTHE SOFTWARE")
+    assert parts.count("\n\n") == 2
+    before, after = prose(rng, 200), prose(rng, 200)
+    assert names(f"{before}\n\n{parts}\n\n{after}") == {"MIT"}
+    assert names(f"{before} {mit} {after}") == {"MIT"}
+    assert names(f"{before}\nIt is good. This work is licensed under the\nGNU General Public License, version 3. {after}\n") == {"GPL-3.0"}
+    for gap in ("\n\n", "\n#\n"):
+        notice = gpl.replace(". This program is distributed", "." + gap + "This program is distributed")
+        assert gap in notice and names(f"{before}\n\n{notice}\n\n{after}") == {"GPL-3.0"}
+    assert names(f"{before}\n\n{gpl.split(' This program is dist')[0]}\n\n{after}") == {"GPL-3.0"}
+    # a window never leaves out what tells a notice from another, and two licences are two
+    assert names(f"{before} Licensed under the Apache License, Version 1.1 {after}") == set()
+    assert names(f"{before} Licensed under the Apache License, Version 2.0 {after} {mit} {before}") == {"Apache-2.0", "MIT"}
+    found = index.scan(f"{before}\n{after}\n\n{parts}\n\n{after}")
+    assert [(m["line"], m["license"], m["dice"]) for m in found] == [(3, "MIT", 1.0)]
+
+
 def test_edges(spark, edges, no_docs):
     got = licenses.digest(licenses.scan(clashing(edges, "matches", "license"))).collect()
     assert len(got) == 12 and all(r.n_matches == 0 and r.best_license is None for r in got)
