@@ -48,6 +48,14 @@ def test_edges(spark, edges, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() >= 0
 
 
+def test_rows_that_share_an_identifier(spark):
+    """Different texts under one identifier all stay, repeated rows do not."""
+    a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "up down left right in out over")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, c), (3, c)], "doc_id long, text string")
+    got = corpus_pipeline.deduplicate(spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (2, c)])
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in corpus_pipeline.STAGES)
