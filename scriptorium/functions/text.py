@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -147,25 +149,29 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(table)
 
 
-def _is_word(piece: Column) -> Column:
-    return F.regexp_like(piece, F.lit("^[A-Za-z0-9]"))
+def surface_forms(query_terms: list[str]) -> list[str]:
+    """All words that the stemmer takes to one of the terms, so that a text's words need no stemming to be compared."""
+    wanted = set(query_terms)
+    made = {w for t in wanted for w in (t, t + "s", t + "es", t[:-1] + "ies")} | {w for w, t in IRREGULAR.items() if t in wanted}
+    return sorted(w for w in made if w and plain_stem(w) in wanted)
 
 
-def _hit(piece: Column, query_terms: Column) -> Column:
-    return _is_word(piece) & F.array_contains(query_terms, let(F.lower(piece), stem))
+def _hit(piece: Column, forms: list[str]) -> Column:
+    # only ASCII letters are folded, so that nothing but a word can equal a form
+    return F.translate(piece, string.ascii_uppercase, string.ascii_lowercase).isin(*forms) if forms else F.lit(False)
 
 
-def _hits(pieces: Column, query_terms: Column) -> Column:
-    """1-based places of the pieces that match."""
-    return F.filter(F.transform(pieces, lambda p, i: F.when(_hit(p, query_terms), i + 1)), lambda i: i.isNotNull())
+def _hits(pieces: Column, forms: list[str]) -> Column:
+    """0-based places of the pieces that match."""
+    return F.filter(F.transform(pieces, lambda p, i: F.when(_hit(p, forms), i)), lambda i: i.isNotNull())
 
 
 def _marked(pieces: Column, at: Column) -> Column:
     """array<struct<text, hit>>: the pieces at the places ``at`` on their own, all between two of them as one."""
     piece = lambda text, hit: F.struct(text.alias("text"), F.lit(hit).alias("hit"))
-    between = lambda lo, hi: F.array_join(F.slice(pieces, lo + 1, F.greatest(hi - lo - 1, F.lit(0))), "")
-    inner = F.flatten(F.transform(at, lambda i, k: F.array(piece(between(F.coalesce(F.get(at, k - 1), F.lit(0)), i), False), piece(F.get(pieces, i - 1), True))))
-    tail = piece(between(F.coalesce(F.get(at, F.size(at) - 1), F.lit(0)), F.size(pieces) + 1), False)
+    between = lambda lo, hi: F.array_join(F.slice(pieces, lo + 2, F.greatest(hi - lo - 1, F.lit(0))), "")
+    inner = F.flatten(F.transform(at, lambda i, k: F.array(piece(between(F.coalesce(F.get(at, k - 1), F.lit(-1)), i), False), piece(F.get(pieces, i), True))))
+    tail = piece(between(F.coalesce(F.get(at, F.size(at) - 1), F.lit(-1)), F.size(pieces)), False)
     return F.filter(F.concat(inner, F.array(tail)), lambda p: F.length(p["text"]) > 0)
 
 
@@ -173,38 +179,64 @@ def _split(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
 
 
-def highlight(text: Column, query_terms: Column) -> Column:
+def highlight(text: Column, query_terms: list[str]) -> Column:
     """The whole text in pieces, those that match the query marked."""
-    return let(_split(text), lambda pieces: let(_hits(pieces, query_terms), lambda at: _marked(pieces, at)))
+    forms = surface_forms(query_terms)
+    return let(_split(text), lambda pieces: let(_hits(pieces, forms), lambda at: _marked(pieces, at)))
 
 
-def window_start(hits: Column, size: int) -> Column:
-    """0-based start of the first window of ``size`` entries with most hits; 0 when there are no more entries than that."""
-    total = lambda h: F.aggregate(h, F.lit(0), lambda a, x: a + x)
-    sums = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - size, F.lit(0)) + 1), lambda s: total(F.slice(h, s, size)))
-    best = lambda h: let(sums(h), lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
-    return let(hits, lambda h: F.when(F.size(h) <= size, F.lit(0)).otherwise(best(h)))
+def window_start(hits: Column, n: Column, size: int) -> Column:
+    """0-based start of the first window of ``size`` among ``n`` words with most hits; 0 when there are no more words than that.
 
+    hits: their 0-based places, ascending. The first of the best windows begins the text or ends with a hit, so one window
+    for each hit is counted, over at most ``size`` hits before it.
+    """
+
+    def ending(h: Column, p: Column, j: Column) -> Column:
+        start = F.greatest(p - (size - 1), F.lit(0))
+        before = F.slice(h, F.greatest(j + 2 - size, F.lit(1)), F.least(j + 1, F.lit(size)))
+        return F.struct(F.size(F.filter(before, lambda q: q >= start)).alias("count"), (-start).alias("start"))
+
+    best = lambda h: -F.array_max(F.transform(h, lambda p, j: ending(h, p, j)))["start"]
+    return F.when(n <= size, F.lit(0)).otherwise(F.coalesce(let(hits, best), F.lit(0)))
 
-def snippet(text: Column, query_terms: Column, max_words: int = SNIPPET_WORDS) -> Column:
+
+def snippet(text: Column, query_terms: list[str], max_words: int = SNIPPET_WORDS) -> Column:
     """Struct of the window's start (in words), its hits, and the pieces with dots where text is left out."""
+    forms = surface_forms(query_terms)
     dots = lambda mark, when: F.when(when, F.array(F.struct(F.lit(mark).alias("text"), F.lit(False).alias("hit")))).otherwise(F.array().cast("array<struct<text:string,hit:boolean>>"))
 
-    def cut(pieces: Column, places: Column, hits: Column, first: Column) -> Column:
-        last = F.least(first + max_words, F.size(places))
-        begin = F.when(first > 0, F.get(places, first)).otherwise(F.lit(1))
-        end = F.when(last < F.size(places), F.get(places, last - 1)).otherwise(F.size(pieces))
-        shown = let(F.slice(pieces, begin, F.greatest(end - begin + 1, F.lit(0))), lambda p: let(_hits(p, query_terms), lambda at: _marked(p, at)))
+    def cut(pieces: Column, n: Column, hits: Column, first: Column) -> Column:
+        # words and what is between them alternate
+        lead = F.when(F.regexp_like(F.get(pieces, F.lit(0)), F.lit("^[A-Za-z0-9]")), 1).otherwise(2)
+        last = F.least(first + max_words, n)
+        begin = F.when(first > 0, 2 * first + lead).otherwise(F.lit(1))
+        end = F.when(last < n, 2 * (last - 1) + lead).otherwise(F.size(pieces))
+        shown = let(F.slice(pieces, begin, F.greatest(end - begin + 1, F.lit(0))), lambda p: let(_hits(p, forms), lambda at: _marked(p, at)))
         return F.struct(
             first.alias("start"),
-            F.aggregate(F.slice(hits, first + 1, max_words), F.lit(0), lambda a, x: a + x).alias("hits"),
+            F.size(F.filter(hits, lambda p: (p >= first) & (p < first + max_words))).alias("hits"),
             F.concat(dots("... ", begin > 1), shown, dots(" ...", end < F.size(pieces))).alias("pieces"),
         )
 
-    def found(pieces: Column) -> Column:
-        # only the words, each with its place and whether it matches
-        marked = F.filter(F.transform(pieces, lambda p, i: F.when(_is_word(p), F.struct((i + 1).alias("place"), F.when(_hit(p, query_terms), 1).otherwise(0).alias("hit")))), lambda w: w.isNotNull())
-        of = lambda w: let(w["hit"], lambda hits: let(window_start(hits, max_words), lambda first: cut(pieces, w["place"], hits, first)))
-        return let(marked, of)
-
-    return let(_split(text), found)
+    def found(pieces: Column, w: Column) -> Column:
+        return let(_hits(w, forms), lambda hits: let(window_start(hits, F.size(w), max_words), lambda first: cut(pieces, F.size(w), hits, first)))
+
+    return let(_split(text), lambda pieces: let(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: found(pieces, w)))
+
+
+def plain_highlight(text: str, query_terms: list[str], max_words: int | None = None) -> list[dict]:
+    """``highlight``, or ``snippet`` with ``max_words``, of one text on the driver (a test holds both to the same results)."""
+    forms = set(surface_forms(query_terms))
+    pieces = re.findall(_PIECE, text)
+    places = [i for i, p in enumerate(pieces) if p[0].isascii() and p[0].isalnum()]
+    begin, end = 0, len(pieces)
+    if max_words is not None and len(places) > max_words:
+        upto = [0, *accumulate(pieces[i].lower() in forms for i in places)]
+        first = max(range(len(places) - max_words + 1), key=lambda s: (upto[s + max_words] - upto[s], -s))
+        begin = places[first] if first else 0
+        end = places[first + max_words - 1] + 1 if first + max_words < len(places) else len(pieces)
+    out = [{"text": "... ", "hit": False}] if begin else []
+    for hit, run in groupby(range(begin, end), key=lambda i: i if pieces[i].isascii() and pieces[i].lower() in forms else -1):
+        out.append({"text": "".join(pieces[i] for i in run), "hit": hit >= 0})
+    return [*out, {"text": " ...", "hit": False}] if end < len(pieces) else out

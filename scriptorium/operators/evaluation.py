@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import index as ix
-from .ranking import DIGITS, MODES, contribution, ordered_sum
+from .numbering import numbered
+from .ranking import MODES, total_score
 
 
 def sample_numbers(n: int, count: int, seed: int = 7) -> list[int]:
@@ -24,10 +25,8 @@ def sampled(corpus: DataFrame, count: int, seed: int = 7) -> DataFrame:
     n = corpus.count()
     if count >= n:
         return corpus
-    spark = corpus.sparkSession
-    numbered = corpus.select("id").orderBy("id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    wanted = spark.createDataFrame([(i,) for i in sample_numbers(n, count, seed)], "n long")
-    ids = spark.createDataFrame(numbered, "id long, n long").join(F.broadcast(wanted), "n", "left_semi").select("id")
+    wanted = corpus.sparkSession.createDataFrame([(i,) for i in sample_numbers(n, count, seed)], "n long")
+    ids = numbered(corpus.select("id"), F.col("id"), "n").join(F.broadcast(wanted), "n", "left_semi").select("id")
     return corpus.join(F.broadcast(ids), "id", "left_semi")
 
 
@@ -37,16 +36,17 @@ def known_item(corpus: DataFrame, sample: int = 1000, seed: int = 7) -> DataFram
     The rank of a document is the number of better ones plus one plus half the number of ties; a document without a score is
     a miss. All (query, mode) pairs run as one job.
     """
-    docs = ix.analysed(corpus.withColumn("title", F.lit("")), title_boost=0)
-    stats, coll = ix.doc_stats(docs), ix.collection(docs)
-    posted = ix.postings(docs, title_boost=0)
-    terms = ix.term_stats(posted, coll)
+    # documents are dealt by id once, so that neither postings nor scores are shuffled any more
+    docs = ix.analysed(corpus.withColumn("title", F.lit("")).repartition("id"), title_boost=0)
+    coll = ix.collection(docs)
     chosen = sampled(corpus, sample, seed).select(F.col("id").alias("qid"), T.terms(F.col("title")).alias("terms"))
+    # the sample is bounded, so are its terms
     queries = chosen.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    # the sample is bounded, so are its terms: the postings need no shuffle to meet them
-    met = posted.join(F.broadcast(queries), "term").join(F.broadcast(terms.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").select("term", "idf")), "term").join(stats.select("id", "norm"), "id")
-    score = lambda mode: F.round(ordered_sum(contribution(mode)), DIGITS).alias(mode)
-    scored = met.groupBy("qid", "id").agg(*(score(m) for m in MODES))
+    asked = F.broadcast(queries.select("term").distinct())
+    posted = ix.postings(docs, title_boost=0, carry=("doc_len",)).join(asked, "term", "left_semi")
+    terms = ix.term_stats(posted, coll).select("term", "idf")
+    weighed = posted.join(F.broadcast(terms), "term").crossJoin(F.broadcast(coll)).withColumn("norm", ix.norm(F.col("doc_len"), F.col("avg_len")))
+    scored = weighed.join(F.broadcast(queries), "term").groupBy("qid", "id").agg(*(total_score(m).alias(m) for m in MODES))
     own = scored.where("qid = id").select("qid", *(F.col(m).alias(f"own_{m}") for m in MODES))
     place = lambda m: (F.sum((F.col(m) > F.col(f"own_{m}")).cast("long")) + 1 + (F.sum((F.col(m) == F.col(f"own_{m}")).cast("long")) - 1) / 2.0).alias(m)
     ranks = scored.join(F.broadcast(own), "qid").groupBy("qid").agg(*(place(m) for m in MODES))

@@ -1,7 +1,8 @@
 """Inverted index as DataFrames: analysis, postings, collection statistics, vocabulary and phrases.
 
 A corpus is a DataFrame with id, title, abstract and category. The analysis is one projection; every table below is one
-aggregate over it with a map-side combine, so the only shuffles are those on (term, id), on word and on phrase.
+aggregate over it with a map-side combine, so the only shuffles are those on (term, id), on word and on phrase. ``analysis``
+holds all that an index needs of a document, so that a build reads and analyses every text once.
 """
 
 from __future__ import annotations
@@ -27,12 +28,36 @@ def analysed(corpus: DataFrame, title_boost: int = T.TITLE_BOOST) -> DataFrame:
     return out.withColumn("doc_len", (F.size("abstract_terms") + title_boost * F.size("title_terms")).cast("long"))
 
 
-def postings(docs: DataFrame, title_boost: int = T.TITLE_BOOST, only: list[str] | None = None) -> DataFrame:
-    """term, id, tf of analysed documents; ``only`` restricts the terms before anything is shuffled."""
+def analysis(corpus: DataFrame, title_boost: int = T.TITLE_BOOST) -> DataFrame:
+    """``analysed``, with the distinct content words and the title's phrases."""
+    spread = corpus.select("id", "category", T.words(F.col("title")).alias("title_words"), T.content_words(F.col("title")).alias("title_content"), T.content_words(F.col("abstract")).alias("abstract_content"))
+    stems = lambda c: F.transform(c, T.stem)
+    out = spread.select("id", "category", stems("title_content").alias("title_terms"), stems("abstract_content").alias("abstract_terms"), F.array_distinct(F.concat("title_content", "abstract_content")).alias("content"), T.title_phrases(F.col("title_words")).alias("phrases"))
+    return out.withColumn("doc_len", (F.size("abstract_terms") + title_boost * F.size("title_terms")).cast("long"))
+
+
+def sorted_postings(docs: DataFrame, avg_len: float, title_boost: int = T.TITLE_BOOST) -> DataFrame:
+    """term, id, tf, category, norm of analysed documents in the order of (term, id), by one shuffle.
+
+    The terms are dealt by ranges of (term, id) before they are counted: no term is too frequent for a task, and neither
+    counting nor sorting deals them anew.
+    """
+    norms = docs.select("id", "category", norm(F.col("doc_len"), F.lit(avg_len)).alias("norm"), "title_terms", "abstract_terms")
+    entry = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    terms = norms.select("id", "category", "norm", F.explode(F.concat(entry("title_terms", title_boost), entry("abstract_terms", 1))).alias("x")).select("x.term", "id", "category", "norm", "x.w")
+    counted = terms.repartitionByRange("term", "id").groupBy("term", "id").agg(F.least(F.sum("w"), F.lit(MAX_TF)).cast("long").alias("tf"), F.first("category").alias("category"), F.first("norm").alias("norm"))
+    return counted.sortWithinPartitions("term", "id")
+
+
+def postings(docs: DataFrame, title_boost: int = T.TITLE_BOOST, only: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """term, id, tf of analysed documents; ``only`` restricts the terms before anything is shuffled.
+
+    carry: further columns of the documents to stand with each posting.
+    """
     wanted = lambda c: F.filter(c, lambda t: t.isin(*only)) if only is not None else F.col(c)
     # runs of one term in one document are counted map-side, since they are in one partition
-    weighted = docs.select("id", F.explode(F.concat(F.transform(wanted("title_terms"), lambda t: F.struct(t.alias("term"), F.lit(title_boost).alias("w"))), F.transform(wanted("abstract_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("x"))
-    return weighted.groupBy("x.term", "id").agg(F.least(F.sum("x.w"), F.lit(MAX_TF)).cast("long").alias("tf"))
+    weighted = docs.select("id", *carry, F.explode(F.concat(F.transform(wanted("title_terms"), lambda t: F.struct(t.alias("term"), F.lit(title_boost).alias("w"))), F.transform(wanted("abstract_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("x"))
+    return weighted.groupBy("x.term", "id").agg(F.least(F.sum("x.w"), F.lit(MAX_TF)).cast("long").alias("tf"), *(F.first(c).alias(c) for c in carry))
 
 
 def collection(docs: DataFrame) -> DataFrame:
@@ -73,15 +98,19 @@ def _frequent(counts: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def vocabulary(corpus: DataFrame) -> DataFrame:
-    """word and the number of documents that hold it, unstemmed, those that occur often enough."""
-    both = F.array_distinct(F.concat(T.content_words(F.col("title")), T.content_words(F.col("abstract"))))
-    counts = corpus.select(F.explode(both).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """word and the number of documents that hold it, unstemmed, those that occur often enough.
+
+    corpus: with title and abstract, or analysed, with ``content``.
+    """
+    words = F.col("content") if "content" in corpus.columns else F.array_distinct(F.concat(T.content_words(F.col("title")), T.content_words(F.col("abstract"))))
+    counts = corpus.select(F.explode(words).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     return _frequent(counts, corpus).select("key", F.col("n").alias("weight"))
 
 
 def phrase_counts(corpus: DataFrame) -> DataFrame:
-    """Every occurrence of a title phrase counts."""
-    return corpus.select(F.explode(T.title_phrases(T.words(F.col("title")))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    """Every occurrence of a title phrase counts. corpus: with title, or analysed, with ``phrases``."""
+    made = F.col("phrases") if "phrases" in corpus.columns else T.title_phrases(T.words(F.col("title")))
+    return corpus.select(F.explode(made).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 def phrases(corpus: DataFrame) -> DataFrame:

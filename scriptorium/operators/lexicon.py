@@ -21,6 +21,13 @@ def complete(keys: DataFrame, prefix: str, limit: int = 8) -> DataFrame:
     return keys.where(F.startswith("key", F.lit(prefix))).orderBy(F.desc("weight"), "key").limit(max(0, limit))
 
 
+def lookup(keys: DataFrame, queries: DataFrame) -> DataFrame:
+    """word, its weight (0 if it is no key) and whether it is one, for each of ``queries`` (one column, word)."""
+    words = queries.select("word").distinct()
+    found = words.join(keys.select(F.col("key").alias("word"), "weight"), "word", "left")
+    return found.select("word", F.coalesce("weight", F.lit(0)).alias("weight"), F.col("weight").isNotNull().alias("known"))
+
+
 def _deletions(word: Column, distance: int) -> Column:
     """The word with up to ``distance`` letters left out, each result once."""
     once = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
@@ -31,20 +38,23 @@ def _deletions(word: Column, distance: int) -> Column:
     return F.array_distinct(out)
 
 
-def fuzzy(keys: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
+def fuzzy(keys: DataFrame, queries: DataFrame, max_distance: int, limit: Column | None = None) -> DataFrame:
     """word, key, distance, weight for all keys within the distance of a word of ``queries`` (one column, word).
 
+    ``limit``: a distance of each word's own, at most ``max_distance``.
+
     Two strings within d edits share a string that d deletions make of each, so candidates come from an equi-join on
     deletions instead of a comparison of all pairs; they are then compared exactly.
     """
     words = queries.select("word").where("word is not null").distinct()
-    lengths = words.select(F.explode(F.sequence(F.length("word") - max_distance, F.length("word") + max_distance)).alias("n")).distinct()
+    within = F.lit(max_distance) if limit is None else limit
+    lengths = words.select(F.explode(F.sequence(F.length("word") - within, F.length("word") + within)).alias("n")).distinct()
     near = keys.join(lengths, F.length("key") == F.col("n"), "left_semi")
     left = words.select("word", F.explode(_deletions(F.col("word"), max_distance)).alias("part"))
     right = near.select("key", "weight", F.explode(_deletions(F.col("key"), max_distance)).alias("part"))
     pairs = left.join(right, "part").select("word", "key", "weight").distinct()
     guarded = pairs.where((F.abs(F.length("word") - F.length("key")) <= max_distance) & (F.levenshtein("word", "key", 2 * max_distance) >= 0))
-    return guarded.withColumn("distance", T.edit_distance(F.col("word"), F.col("key"))).where(F.col("distance") <= max_distance).select("word", "key", "distance", "weight")
+    return guarded.withColumn("distance", T.edit_distance(F.col("word"), F.col("key"))).where(F.col("distance") <= within).select("word", "key", "distance", "weight")
 
 
 def correct(keys: DataFrame, queries: DataFrame, max_distance: int | None = None) -> DataFrame:
@@ -55,9 +65,7 @@ def correct(keys: DataFrame, queries: DataFrame, max_distance: int | None = None
     """
     words = queries.select("word").distinct()
     unknown = words.where(F.length("word") >= 3).join(keys.select(F.col("key").alias("word")), "word", "left_anti")
-    if max_distance is None:
-        found = fuzzy(keys, unknown.where(F.length("word") <= 4), 1).unionByName(fuzzy(keys, unknown.where(F.length("word") > 4), 2))
-    else:
-        found = fuzzy(keys, unknown, max_distance)
+    own = F.when(F.length("word") <= 4, 1).otherwise(2)
+    found = fuzzy(keys, unknown, 2, own) if max_distance is None else fuzzy(keys, unknown, max_distance)
     best = found.groupBy("word").agg(F.min_by("key", F.struct("distance", -F.col("weight"), "key")).alias("correction"))
     return words.join(best, "word", "left")

@@ -51,13 +51,12 @@ def query_words(spark: SparkSession, query: str) -> DataFrame:
 
 def marked_rows(rows: DataFrame, query_terms: list[str]) -> DataFrame:
     """Result columns of documents, their titles and snippets marked."""
-    terms = F.array(*(F.lit(t) for t in query_terms)).cast("array<string>")
     return rows.select(
         "id",
         "arxiv_id",
         F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id").alias("url"),
-        T.highlight(F.col("title"), terms).alias("title"),
-        T.snippet(F.col("abstract"), terms)["pieces"].alias("snippet"),
+        T.highlight(F.col("title"), query_terms).alias("title"),
+        T.snippet(F.col("abstract"), query_terms)["pieces"].alias("snippet"),
         "authors",
         F.col("primary_category").alias("category"),
         "published",

@@ -12,20 +12,29 @@ MODES = ("bm25", "tf", "match")
 DIGITS = 9
 
 
+#: Contributions are summed as whole multiples of this, so that a sum does not depend on the order of its parts.
+UNIT = 1e-13
+
+
 def contribution(mode: str) -> Column:
     """Of one query term to one document, from tf, norm and idf."""
     if mode == "bm25":
         return F.col("idf") * F.lit(ix.K1 + 1) * F.col("tf") / (F.col("tf") + F.col("norm"))
     if mode == "tf":
-        return F.col("tf").cast("double")
+        return F.col("tf")
     if mode == "match":
-        return F.lit(1.0)
+        return F.lit(1)
     raise ValueError(f"unknown scoring mode: {mode}")
 
 
-def ordered_sum(values: Column) -> Column:
-    """A sum that does not depend on the order in which values arrive."""
-    return F.aggregate(F.array_sort(F.collect_list(values)), F.lit(0.0), lambda a, x: a + x)
+def total_score(mode: str) -> Column:
+    """The sum of the contributions, the same whatever the order: it is combined map-side as whole numbers.
+
+    A contribution to BM25 is at most 2.2 times an idf, so a query would need tens of thousands of distinct terms to pass 64 bits.
+    """
+    if mode == "bm25":
+        return F.round(F.sum(F.round(contribution(mode) / F.lit(UNIT)).cast("long")) * F.lit(UNIT), DIGITS)
+    return F.sum(contribution(mode)).cast("double")
 
 
 def scores(posted: DataFrame, terms: DataFrame, stats: DataFrame, query: list[str], mode: str = "bm25") -> DataFrame:
@@ -33,20 +42,17 @@ def scores(posted: DataFrame, terms: DataFrame, stats: DataFrame, query: list[st
 
     posted: term, id, tf. terms: term, idf. stats: id, category, norm.
     """
-    value = contribution(mode)
     wanted = posted.where(F.col("term").isin(*set(query))) if query else posted.limit(0)
     joined = wanted.join(F.broadcast(terms.where(F.col("term").isin(*set(query))) if query else terms.limit(0)), "term").join(stats, "id")
-    # at most one value per query term and document
-    return joined.groupBy("id", "category").agg(F.round(ordered_sum(value), DIGITS).alias("score"))
+    return joined.groupBy("id", "category").agg(total_score(mode).alias("score"))
 
 
-def stored_scores(posted: DataFrame, idf: dict[str, float], mode: str = "bm25") -> DataFrame:
-    """``scores`` on stored postings that hold category and norm themselves, with the query terms' idf at hand: no join."""
-    known = posted.where(F.col("term").isin(*idf)) if idf else posted.limit(0)
-    value = F.lit(0.0)
-    for term, x in idf.items():
-        value = F.when(F.col("term") == term, F.lit(x)).otherwise(value)
-    return known.withColumn("idf", value).groupBy("id", "category").agg(F.round(ordered_sum(contribution(mode)), DIGITS).alias("score"))
+def stored_scores(posted: DataFrame, terms: DataFrame, query: list[str], mode: str = "bm25") -> DataFrame:
+    """``scores`` on stored postings that hold category and norm themselves: only the query's few terms are joined."""
+    if not query:
+        return posted.limit(0).groupBy("id", "category").agg(F.lit(0.0).alias("score"))
+    wanted = F.col("term").isin(*set(query))
+    return posted.where(wanted).join(F.broadcast(terms.where(wanted).select("term", "idf")), "term").groupBy("id", "category").agg(total_score(mode).alias("score"))
 
 
 def rank(scored: DataFrame, category: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +16,14 @@ from ..functions import text as T
 from ..operators import index as ix
 from ..operators import lexicon, query, ranking
 from ..operators.suggest import suggest
+from ..session import remove, spread
 
-VERSION = 1
-TABLES = ("postings", "term_stats", "doc_stats", "vocabulary", "phrases", "collection")
+VERSION = 2
+TABLES = ("postings", "term_stats", "doc_stats", "vocabulary", "phrases", "collection", "parts")
+#: At most so many postings are scored on the driver (40 MB).
+DRIVER_ROWS = 1_000_000
+#: Row groups of tables that are read by key, so that a key is found without reading its whole file.
+ROW_GROUP = 4 << 20
 
 
 def _fs(spark: SparkSession, path: str):
@@ -27,67 +35,136 @@ def half_even(value: float, digits: int) -> float:
     return float(Decimal(value).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
 
 
+def _listed(words: list[str]) -> str:
+    """Words of ASCII letters and digits as a list in SQL."""
+    if not all(w.isascii() and w.isalnum() for w in words):
+        raise ValueError("a term has letters and digits only")
+    return ", ".join(f"'{w}'" for w in words) or "NULL"
+
+
+class LazyTables(dict):
+    """The tables of an index that is not stored, each planned when it is asked for."""
+
+    def __init__(self, corpus: DataFrame):
+        super().__init__()
+        self.corpus = corpus
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name == "docs":
+            made = ix.analysed(self.corpus)
+        elif name == "collection":
+            made = ix.collection(self["docs"])
+        elif name == "doc_stats":
+            made = ix.doc_stats(self["docs"])
+        elif name == "bare":
+            made = ix.postings(self["docs"])
+        elif name == "postings":
+            # category and norm stand with each posting, so that scoring needs no join
+            made = self["bare"].join(self["doc_stats"].select("id", "category", "norm"), "id").select("term", "id", "tf", "category", "norm")
+        elif name == "term_stats":
+            made = ix.term_stats(self["bare"], self["collection"])
+        elif name in ("vocabulary", "phrases"):
+            made = getattr(ix, name)(self.corpus)
+        else:
+            raise KeyError(name)
+        self[name] = made
+        return made
+
+
 class SearchEngine:
     """Tables of one index and the store that it was built from."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], store: DataFrame, build_seconds: float = 0.0, rare_word_factor: int = query.RARE_WORD_FACTOR):
-        self.spark, self.tables, self.store = spark, tables, store
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], store: DataFrame, build_seconds: float = 0.0, rare_word_factor: int = query.RARE_WORD_FACTOR, path: str | None = None):
+        self.spark, self.tables, self.store, self.path = spark, tables, store, path
         self.build_seconds, self.rare_word_factor = build_seconds, rare_word_factor
         self._stats: dict | None = None
+        self._coll = None
+        #: The parts of the stored postings with their first and last term: one row a part.
+        self._parts = [tuple(r) for r in tables["parts"].select("part", "first", "last").collect()] if "parts" in tables else None
 
     # --- build, save, load
 
+    @staticmethod
+    def corpus(store: DataFrame) -> DataFrame:
+        return store.select("id", "title", "abstract", F.col("primary_category").alias("category"))
+
     @classmethod
     def build(cls, spark: SparkSession, store: DataFrame) -> SearchEngine:
         """store: the columns of the document store. Tables are lazy until saved."""
-        began = time.perf_counter()
-        corpus = store.select("id", "title", "abstract", F.col("primary_category").alias("category"))
-        docs = ix.analysed(corpus)
-        posted = ix.postings(docs)
-        coll = ix.collection(docs)
-        tables = {
-            # category and norm stand with each posting, so that scoring needs no join
-            "postings": posted.join(ix.doc_stats(docs).select("id", "category", "norm"), "id").select("term", "id", "tf", "category", "norm"),
-            "term_stats": ix.term_stats(posted, coll),
-            "doc_stats": ix.doc_stats(docs),
-            "vocabulary": ix.vocabulary(corpus),
-            "phrases": ix.phrases(corpus),
-            "collection": coll,
-        }
-        return cls(spark, tables, store, time.perf_counter() - began)
+        return cls(spark, LazyTables(cls.corpus(store)), store)
 
     def save(self, path: str) -> SearchEngine:
-        """Write the tables to a new version folder, sorted by their keys, then switch the pointer file to it."""
+        """Write the index of the store to a new version folder, the tables sorted by their keys, and publish it.
+
+        Every text is analysed once, into a table that all others are made from.
+        """
         began = time.perf_counter()
-        fs, root = _fs(self.spark, path)
-        name = f"v{int(time.time() * 1000)}"
-        # range partitions sorted by key: a term or a prefix is found by the footer's minima and maxima
-        keys = {"postings": ["term", "id"], "term_stats": ["term"], "vocabulary": ["key"], "phrases": ["key"]}
-        written: dict[str, DataFrame] = {}
-        for table, df in self.tables.items():
-            if table == "term_stats" and "postings" in written:
-                df = ix.term_stats(written["postings"], self.tables["collection"])
-            out = df.repartitionByRange(keys[table][0], *keys[table][1:]).sortWithinPartitions(*keys[table]) if table in keys else df
-            out.write.parquet(f"{path}/{name}/{table}")
-            written[table] = self.spark.read.parquet(f"{path}/{name}/{table}")
-        seconds = self.build_seconds + time.perf_counter() - began
-        head = {"version": VERSION, "folder": name, "build_seconds": seconds, "num_docs": written["doc_stats"].count()}
-        # readers see the old pointer or the new one
-        temporary = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.current.tmp")
+        name = f"v{max([int(time.time() * 1000), *(n + 1 for n in self._versions(self.spark, path))]):015d}"
+        root = f"{path}/{name}"
+
+        def write(table: str, df: DataFrame, *keys: str) -> DataFrame:
+            # sorted by key: a term or a prefix is found by the footers' minima and maxima
+            sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+            writer = sorted_.write.option("parquet.block.size", ROW_GROUP)
+            (writer.partitionBy("part") if table == "postings" else writer).parquet(f"{root}/{table}")
+            return self.spark.read.parquet(f"{root}/{table}")
+
+        docs = write("analysis", ix.analysis(spread(self.corpus(self.store), "id")))
+        coll = write("collection", ix.collection(docs).coalesce(1))
+        totals = coll.first()
+
+        def of_postings() -> dict[str, DataFrame]:
+            # each range of (term, id) is a folder of its own, which a search for other terms never opens
+            posted = write("postings", ix.sorted_postings(docs, totals.avg_len).withColumn("part", F.spark_partition_id()))
+            ranges = posted.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1)
+            return {"postings": posted, "term_stats": write("term_stats", ix.term_stats(posted, coll), "term"), "parts": write("parts", ranges)}
+
+        makers = (
+            of_postings,
+            lambda: {"vocabulary": write("vocabulary", ix.vocabulary(docs), "key")},
+            lambda: {"phrases": write("phrases", ix.phrases(docs), "key")},
+            lambda: {"doc_stats": write("doc_stats", docs.select("id", "category", "doc_len", ix.norm(F.col("doc_len"), F.lit(totals.avg_len)).alias("norm")))},
+        )
+        written = {"collection": coll}
+        # the tables do not depend on each other, so one fills the cores that another leaves
+        with ThreadPoolExecutor(len(makers)) as pool:
+            for made in pool.map(lambda make: make(), makers):
+                written |= made
+        remove(self.spark, f"{root}/analysis")
+        seconds = time.perf_counter() - began
+        self._publish(path, name, {"version": VERSION, "folder": name, "build_seconds": seconds, "num_docs": totals.num_docs})
+        return SearchEngine(self.spark, written, self.store, seconds, self.rare_word_factor, path)
+
+    @staticmethod
+    def _versions(spark: SparkSession, path: str, published: bool = False) -> list[int]:
+        """The version numbers in the folder, ascending."""
+        fs, where = _fs(spark, f"{path}/v*/head.json" if published else f"{path}/v*")
+        found = [x.getPath() for x in fs.globStatus(where) or ()]
+        return sorted(int((p.getParent() if published else p).getName()[1:]) for p in found)
+
+    def _publish(self, path: str, name: str, head: dict) -> None:
+        """A version counts from when its head stands in its folder, which one rename to a new name does.
+
+        So a reader finds the version before or the new one, whenever it looks. The version before stays for those who
+        still read it; older ones go.
+        """
+        fs, temporary = _fs(self.spark, f"{path}/{name}/.head.tmp")
         stream = fs.create(temporary, True)
         stream.write(json.dumps(head).encode())
         stream.close()
-        current = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.json")
-        fs.delete(current, False)
-        fs.rename(temporary, current)
-        return SearchEngine(self.spark, written, self.store, seconds, self.rare_word_factor)
+        if not fs.rename(temporary, self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/head.json")):
+            raise OSError(f"cannot publish {path}/{name}")
+        for old in self._versions(self.spark, path, published=True)[:-2]:
+            remove(self.spark, f"{path}/v{old:015d}")
 
-    @staticmethod
-    def head(spark: SparkSession, path: str) -> dict:
-        fs, current = _fs(spark, f"{path}/current.json")
-        if not fs.exists(current):
+    @classmethod
+    def head(cls, spark: SparkSession, path: str) -> dict:
+        """Of the newest published version."""
+        found = cls._versions(spark, path, published=True)
+        if not found:
             raise FileNotFoundError(path)
-        stream = fs.open(current)
+        fs, head = _fs(spark, f"{path}/v{found[-1]:015d}/head.json")
+        stream = fs.open(head)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -99,7 +176,7 @@ class SearchEngine:
         if head.get("version") != VERSION:
             raise ValueError(f"the index in {path} has another version; build it again")
         tables = {t: spark.read.parquet(f"{path}/{head['folder']}/{t}") for t in TABLES}
-        return cls(spark, tables, store, head["build_seconds"])
+        return cls(spark, tables, store, head["build_seconds"], path=path)
 
     @classmethod
     def prepare(cls, spark: SparkSession, path: str, store: DataFrame) -> SearchEngine:
@@ -111,53 +188,125 @@ class SearchEngine:
             pass
         return cls.build(spark, store).save(path)
 
+    def megabytes(self) -> float | None:
+        """What the saved index takes."""
+        if self.path is None:
+            return None
+        fs, where = _fs(self.spark, f"{self.path}/{self.head(self.spark, self.path)['folder']}")
+        return round(fs.getContentSummary(where).getLength() / 1e6, 1)
+
     # --- search
 
-    def lookup(self, words: list[str]) -> tuple[dict[str, tuple[int, float]], set[str]]:
-        """Document frequency and idf of the words' stems, and which words the vocabulary holds: one job on a few rows."""
-        if not words:
-            return {}, set()
-        stems = {T.plain_stem(w) for w in words}
-        indexed = self.tables["term_stats"].where(F.col("term").isin(*stems)).select(F.lit(True).alias("is_term"), F.col("term").alias("key"), "df", "idf")
-        known = self.tables["vocabulary"].where(F.col("key").isin(*set(words))).select(F.lit(False).alias("is_term"), "key", F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("idf"))
-        rows = indexed.unionAll(known).collect()
-        return {r.key: (r.df, r.idf) for r in rows if r.is_term}, {r.key for r in rows if not r.is_term}
+    def _postings(self, terms: list[str]) -> DataFrame:
+        """The postings of the terms, of a stored index only from the parts whose range holds one."""
+        wanted = f"term IN ({_listed(terms)})"
+        if self._parts is not None:
+            parts = [str(p) for p, first, last in self._parts if any(first <= t <= last for t in terms)]
+            wanted = f"part IN ({', '.join(parts or ['-1'])}) AND {wanted}"
+        return self.tables["postings"].where(wanted)
+
+    def scores(self, terms: list[str], mode: str = "bm25") -> DataFrame:
+        return ranking.stored_scores(self._postings(terms) if terms else self.tables["postings"], self.tables["term_stats"], terms, mode)
+
+    def _known(self, words: list[str]) -> DataFrame:
+        return self.tables["vocabulary"].where(f"key IN ({_listed(words)})")
+
+    def _collection(self):
+        if self._coll is None:
+            self._coll = self.tables["collection"].first()
+        return self._coll
+
+    def _answer(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str]]:
+        """The number of matches, the page (id, score), and which of the words the vocabulary holds, all by one query.
+
+        A term has at most one posting per document. Where that bounds the postings by ``DRIVER_ROWS``, they are scored on
+        the driver, else by the executors.
+        """
+        if self._collection().num_docs * len(terms) <= DRIVER_ROWS:
+            return self._answer_here(terms, category, limit, offset, words)
+        scored = self.scores(terms)
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = ranking.rank(scored, category, limit, offset).select("id", "score", none("string").alias("word"))
+        rows = rows.unionAll(ranking.total(scored, category).select(F.col("total").alias("id"), none("double"), none("string")))
+        if words:
+            rows = rows.unionAll(self._known(words).select(none("long"), none("double"), "key"))
+        found = rows.collect()
+        page = sorted(((r.id, r.score) for r in found if r.score is not None), key=lambda x: (-x[1], x[0]))
+        return next(r.id for r in found if r.score is None and r.word is None), page, {r.word for r in found if r.word is not None}
+
+    def _answer_here(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str]]:
+        # few calls with SQL texts, since each call of the column functions costs as much as a task
+        rows = self._postings(terms).select("term", "id", "tf", "norm", "category")
+        if words:
+            rows = rows.unionAll(self._known(words).selectExpr("key", *(f"CAST(NULL AS {kind})" for kind in ("long", "long", "double", "string"))))
+        found = rows.toArrow()
+        known = set(found["term"].filter(found["id"].is_null()).to_pylist())
+        held = found.filter(found["id"].is_valid())
+        names = held["term"].to_numpy(zero_copy_only=False).astype(str)
+        ids, tf, norm = (held[c].to_numpy().astype(kind) for c, kind in (("id", np.int64), ("tf", np.float64), ("norm", np.float64)))
+        n = self._collection().num_docs
+        idf = np.zeros(len(ids))
+        for t in terms:
+            at = names == t
+            df = int(at.sum())
+            idf[at] = math.log(1.0 + (n - df + 0.5) / (df + 0.5))
+        units = np.floor(idf * (ix.K1 + 1) * tf / (tf + norm) / ranking.UNIT + 0.5).astype(np.int64)
+        wanted = held["category"].to_numpy(zero_copy_only=False) == category if category else np.ones(len(ids), bool)
+        some, at = np.unique(ids[wanted], return_inverse=True)
+        summed = np.zeros(len(some), np.int64)
+        np.add.at(summed, at, units[wanted])
+        scores = np.round(summed * ranking.UNIT, ranking.DIGITS)
+        best = np.lexsort((some, -scores))[offset : offset + limit]
+        return len(some), [(int(some[i]), float(scores[i])) for i in best], known
+
+    def _fixes(self, content: list[str], known: set[str]) -> dict[str, str]:
+        """Replacements of content words. The vocabulary is only searched for words that it does not hold."""
+        doubtful = sorted({w for w in content if w not in known and len(w) > 2})
+        if not doubtful:
+            return {}
+        asked = self.spark.createDataFrame([(w,) for w in doubtful], "word string")
+        return {r.word: r.replacement for r in query.correct_words(asked, self.tables["term_stats"], self.tables["vocabulary"], self.rare_word_factor).collect()}
 
     def correct_query(self, text: str, correct: bool = True) -> tuple[list[str], str | None]:
-        """The content words, corrected, and the corrected text if it changed. The vocabulary is only searched for unknown words."""
+        """The content words, corrected, and the corrected text if it changed."""
         words = T.plain_words(text)
         content = [w for w in words if T.plain_content_word(w)]
-        fixes: dict[str, str] = {}
-        if correct and content:
-            df, known = self.lookup(content)
-            doubtful = sorted({w for w in content if w not in known and len(w) > 2})
-            if doubtful:
-                asked = self.spark.createDataFrame([(w,) for w in doubtful], "word string")
-                fixes = {r.word: r.replacement for r in query.correct_words(asked, self.tables["term_stats"], self.tables["vocabulary"], self.rare_word_factor).collect()}
-        out = [fixes.get(w, w) for w in words]
-        return [fixes.get(w, w) for w in content], " ".join(out) if fixes else None
-
-    def scores(self, terms: list[str], mode: str = "bm25") -> DataFrame:
-        df, _ = self.lookup(terms)
-        return ranking.stored_scores(self.tables["postings"], {t: df[t][1] for t in terms if t in df}, mode)
+        fixes = self._fixes(content, {r.key for r in self._known(content).collect()}) if correct and content else {}
+        return [fixes.get(w, w) for w in content], " ".join(fixes.get(w, w) for w in words) if fixes else None
 
     def rank(self, terms: list[str], category: str | None = None, limit: int = 10, offset: int = 0) -> tuple[int, list[tuple[int, float]]]:
-        scored = self.scores(terms)
-        page = ranking.rank(scored, category, limit, offset).collect()
-        return ranking.total(scored, category).first().total, [(r.id, r.score) for r in page]
+        return self._answer(terms, category, limit, offset)[:2] if terms else (0, [])
+
+    def matches(self, text: str, category: str | None = None, limit: int = 10, offset: int = 0, correct: bool = True) -> tuple[str | None, list[str], int, list[tuple[int, float]]]:
+        """The corrected query (or null), its terms, the number of matches, and the page. One query, two more if a word is doubtful."""
+        words = T.plain_words(text)
+        content = [w for w in words if T.plain_content_word(w)]
+        stems = lambda ws: list(dict.fromkeys(map(T.plain_stem, ws)))
+        if not content:
+            return None, [], 0, []
+        total, page, known = self._answer(stems(content), category, limit, offset, content if correct else ())
+        fixes = self._fixes(content, known) if correct else {}
+        if not fixes:
+            return None, stems(content), total, page
+        terms = stems(fixes.get(w, w) for w in content)
+        total, page, _ = self._answer(terms, category, limit, offset)
+        return " ".join(fixes.get(w, w) for w in words), terms, total, page
+
+    def result_rows(self, page: list[tuple[int, float]], terms: list[str]) -> list[dict]:
+        """The page's documents in order, their titles and snippets marked on the driver: at most one page of rows."""
+        rows = self.store.where(f"id IN ({', '.join(str(i) for i, _ in page)})").select("id", "arxiv_id", "title", "abstract", "authors", "primary_category", "published").collect() if page else []
+        found = {r.id: r for r in rows}
+        made = []
+        for i, score in page:
+            r = found[i]
+            marked = {"title": T.plain_highlight(r.title, terms), "snippet": T.plain_highlight(r.abstract, terms, T.SNIPPET_WORDS)}
+            made.append({"arxiv_id": r.arxiv_id, "url": f"https://arxiv.org/abs/{r.arxiv_id}", **marked, "authors": r.authors, "category": r.primary_category, "published": r.published, "score": half_even(score, 3)})
+        return made
 
     def search(self, text: str, category: str | None = None, limit: int = 10, offset: int = 0, correct: bool = True) -> dict:
         began = time.perf_counter()
-        content, corrected = self.correct_query(text, correct)
-        terms = list(dict.fromkeys(map(T.plain_stem, content)))
-        total, page = self.rank(terms, category, limit, offset) if terms else (0, [])
-        results = []
-        if page:
-            rows = query.marked_rows(self.store.where(F.col("id").isin(*(i for i, _ in page))), terms)
-            found = {r.id: r.asDict(recursive=True) for r in rows.collect()}
-            for i, score in page:
-                found[i].pop("id")
-                results.append(found[i] | {"score": half_even(score, 3)})
+        corrected, terms, total, page = self.matches(text, category, limit, offset, correct)
+        results = self.result_rows(page, terms)
         return {"query": text, "corrected_query": corrected, "total": total, "offset": offset, "took_ms": round((time.perf_counter() - began) * 1000, 2), "results": results}
 
     def suggest(self, text: str, limit: int = 8) -> list[str]:

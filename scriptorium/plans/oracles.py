@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.text import IRREGULAR, STOPWORDS, UNCHANGED, WEAK_EDGES
-from .queries import CATEGORY, PAIRS, TERMS, TYPOS, WORDS
+from ..operators.evaluation import sample_numbers
+from .queries import CATEGORY, PAIRS, SAMPLE, TERMS, TYPOS, WORDS
 
 
 def _in(words) -> str:
@@ -143,16 +144,22 @@ shown AS (
 BRACKET = "CASE WHEN hit THEN '[' || p || ']' ELSE p END"
 
 
-def _known_item() -> str:
+def _known_item(sample: int | None = None) -> str:
     modes = {"bm25": BM25, "tf": "tf", "match": "1.0e0"}
     scores = ", ".join(f"round(sum({v}), 9) AS {m}" for m, v in modes.items())
+    source, chosen = "docs", ""
+    if sample is not None:
+        # positions among n documents, for the sizes of table at hand
+        places = ", ".join(f"({n}, {i})" for n in (200, 1000, 10_000) for i in sample_numbers(n, sample))
+        chosen = f"places(n, i) AS (VALUES {places}),\nchosen AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM docs) JOIN places USING (n, i)),\n"
+        source = "chosen"
     ranks = " UNION ALL ".join(f"SELECT '{m}' AS mode, s.qid, sum((s.{m} > o.{m})::INT) + 1 + (sum((s.{m} = o.{m})::INT) - 1) / 2.0e0 AS rank FROM met s JOIN met o ON s.qid = o.qid AND o.id = o.qid GROUP BY s.qid" for m in modes)
     return f"""WITH {INDEX.replace(f"SELECT id, 3 AS weight, unnest({_words('title')}) AS w FROM docs UNION ALL ", "")},
-asked AS (SELECT DISTINCT id AS qid, {_stem('w')} AS term FROM (SELECT id, unnest({_words('title')}) AS w FROM docs) WHERE {_content('w')}),
+{chosen}asked AS (SELECT DISTINCT id AS qid, {_stem('w')} AS term FROM (SELECT id, unnest({_words('title')}) AS w FROM {source}) WHERE {_content('w')}),
 met AS (SELECT qid, id, {scores} FROM asked JOIN post USING (term) JOIN idfs USING (term) JOIN norms USING (id) GROUP BY qid, id),
 ranks AS ({ranks})
 SELECT mode, round(sum((rank <= 1)::INT)::DOUBLE / n, 6) AS recall_1, round(sum((rank <= 10)::INT)::DOUBLE / n, 6) AS recall_10, round(sum(CASE WHEN rank <= 10 THEN 1.0e0 / rank ELSE 0 END) / n, 6) AS mrr_10
-FROM ranks, (SELECT count(*) AS n FROM docs) GROUP BY mode, n"""
+FROM ranks, (SELECT count(*) AS n FROM {source}) GROUP BY mode, n"""
 
 
 def _percentile(f: str) -> str:
@@ -181,6 +188,13 @@ SELECT row_number() OVER (ORDER BY o) - 1 AS pos, key AS suggestion FROM uniq OR
 _STORE = f"SELECT doc_id AS id, {TITLE} AS title, substr(text, length({TITLE}) + 1) AS abstract FROM documents"
 _PAIR_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
 
+SEARCH = f"""{_scores(BM25)}, page AS (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 10), {RECORDS},
+src AS (SELECT id, abstract AS t FROM docs WHERE id IN (SELECT id FROM page)), {PIECES}, {WINDOW},
+snip AS (SELECT id, any_value(dots) || string_agg({BRACKET}, '' ORDER BY n) || any_value(more) AS snippet FROM shown GROUP BY id),
+tp AS (SELECT id, n, p, {HIT} AS hit FROM (SELECT id, unnest(regexp_extract_all(title, {SPLIT})) AS p, generate_subscripts(regexp_extract_all(title, {SPLIT}), 1) AS n FROM docs WHERE id IN (SELECT id FROM page))),
+head AS (SELECT id, string_agg({BRACKET}, '' ORDER BY n) AS title FROM tp GROUP BY id)
+SELECT page.id, rec.arxiv_id, 'https://arxiv.org/abs/' || rec.arxiv_id AS url, coalesce(head.title, '') AS title, coalesce(snip.snippet, rec.abstract) AS snippet, rec.authors, rec.category, rec.published, round(page.score, 6) AS score FROM page JOIN (SELECT doc_id, id AS arxiv_id, abstract, authors, split_part(categories, ' ', 1) AS category, {MONTH} AS published FROM rec) rec ON rec.doc_id = page.id LEFT JOIN head ON head.id = page.id LEFT JOIN snip ON snip.id = page.id"""
+
 ORACLE_SQL = {
     "tokens_words": f"SELECT doc_id, generate_subscripts({_words('text')}, 1) - 1 AS pos, unnest({_words('text')}) AS word FROM documents",
     "tokens_terms": f"""WITH t AS (SELECT doc_id, generate_subscripts({_words('text')}, 1) AS k, unnest({_words('text')}) AS w FROM documents)
@@ -227,13 +241,16 @@ SELECT string_agg(w, ' ' ORDER BY pos) FILTER (WHERE c) AS content, CASE WHEN bo
     "best_snippet": f"""WITH {DOCS}, src AS (SELECT id, abstract AS t FROM docs), {PIECES}, {WINDOW},
 found AS (SELECT id, start, hits, any_value(dots) || string_agg(p, '' ORDER BY n) || any_value(more) AS snippet FROM shown GROUP BY id, start, hits)
 SELECT docs.id, coalesce(start, 0)::BIGINT AS start, coalesce(hits, 0)::BIGINT AS hits, coalesce(snippet, abstract) AS snippet FROM docs LEFT JOIN found USING (id)""",
-    "search": f"""WITH {_scores(BM25)}, page AS (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 10), {RECORDS},
-src AS (SELECT id, abstract AS t FROM docs WHERE id IN (SELECT id FROM page)), {PIECES}, {WINDOW},
-snip AS (SELECT id, any_value(dots) || string_agg({BRACKET}, '' ORDER BY n) || any_value(more) AS snippet FROM shown GROUP BY id),
-tp AS (SELECT id, n, p, {HIT} AS hit FROM (SELECT id, unnest(regexp_extract_all(title, {SPLIT})) AS p, generate_subscripts(regexp_extract_all(title, {SPLIT}), 1) AS n FROM docs WHERE id IN (SELECT id FROM page))),
-head AS (SELECT id, string_agg({BRACKET}, '' ORDER BY n) AS title FROM tp GROUP BY id)
-SELECT page.id, rec.arxiv_id, 'https://arxiv.org/abs/' || rec.arxiv_id AS url, coalesce(head.title, '') AS title, coalesce(snip.snippet, rec.abstract) AS snippet, rec.authors, rec.category, rec.published, round(page.score, 6) AS score
-FROM page JOIN (SELECT doc_id, id AS arxiv_id, abstract, authors, split_part(categories, ' ', 1) AS category, {MONTH} AS published FROM rec) rec ON rec.doc_id = page.id LEFT JOIN head ON head.id = page.id LEFT JOIN snip ON snip.id = page.id""",
+    "search": f"WITH {SEARCH}",
+    "stored_search": f"WITH {SEARCH.replace(' AS score FROM page JOIN', ' AS score, (SELECT count(*) FROM scored) AS total FROM page JOIN')}",
     "known_item_eval": _known_item(),
+    "known_item_sample": _known_item(SAMPLE),
+    "jsonl_source": f"WITH {RECORDS} SELECT id, title, abstract, authors, categories FROM rec",
+    "oai_source": f"""WITH {RECORDS} SELECT id, array_to_string({_words('title')}, ' ') AS title, array_to_string({_words('abstract')}, ' ') AS abstract, 'A. B. ' || split_part(authors, ' ', 1) || '; Writer' AS authors, categories
+  FROM rec WHERE doc_id % 10 <> 0""",
+    "store_ingest": f"""WITH {RECORDS}, first AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS k FROM rec WHERE title <> '' AND abstract <> ''),
+kept AS (SELECT * FROM first WHERE k = 1)
+SELECT row_number() OVER (ORDER BY doc_id) AS id, id AS arxiv_id, {_clean('title')} AS title, split_part(categories, ' ', 1) AS primary_category, (SELECT count(*) FROM kept) AS added, 0::BIGINT AS added_again FROM kept""",
+    "word_lookup": f"WITH {INDEX}, {VOCABULARY}, asked(word) AS (VALUES {_WORD_ROWS}) SELECT word, coalesce(weight, 0) AS weight, weight IS NOT NULL AS known FROM asked LEFT JOIN vocab ON key = word",
     "percentiles": f"SELECT source AS category, {_percentile('0.5')} AS p50, {_percentile('0.95')} AS p95, {_percentile('0.99')} AS p99 FROM (SELECT source, length(text) AS v FROM documents) GROUP BY source",
 }

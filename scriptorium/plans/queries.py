@@ -9,18 +9,24 @@ from ..functions import text as T
 from ..operators import evaluation, lexicon, query, ranking
 from ..operators import index as ix
 from ..operators.suggest import suggest
+from ..session import scratch_path, spread
 from ..sources import records, store
+from .engine import SearchEngine
 
 QUERY = "the thing and anonly erthat of tionth"
 TERMS = ["thing", "anonly", "erthat", "tionth"]
 TYPOS = "the thign and anonyl of erhtat ofth"
 WORDS = ("thign", "anonyl", "erhtat", "tionht", "thing", "ofth", "zzzzzzzz", "th")
 CATEGORY = "src3"
+#: Titles that the sampled evaluation asks for.
+SAMPLE = 50
 PAIRS = (("neural", "nueral"), ("ca", "abc"), ("graph", "graph"), ("kitten", "sitting"), ("ab", "ba"), ("search", "serch"), ("index", "vortex"))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents of few splits are dealt over the cores by id, since a text is much work for its size."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,17 +236,13 @@ def correct_query(spark, sf_dir):
 # --- snippets
 
 
-def _terms():
-    return F.array(*(F.lit(t) for t in TERMS))
-
-
 def highlight_title(spark, sf_dir):
-    pieces = T.highlight(F.col("title"), _terms())
+    pieces = T.highlight(F.col("title"), TERMS)
     return corpus(spark, sf_dir).select("id", F.posexplode(pieces).alias("pos", "p")).select("id", F.col("pos").cast("long").alias("pos"), "p.text", "p.hit")
 
 
 def best_snippet(spark, sf_dir):
-    s = corpus(spark, sf_dir).select("id", T.snippet(F.col("abstract"), _terms()).alias("s"))
+    s = corpus(spark, sf_dir).select("id", T.snippet(F.col("abstract"), TERMS).alias("s"))
     return s.select("id", F.col("s.start").cast("long").alias("start"), F.col("s.hits").cast("long").alias("hits"), F.array_join(F.transform("s.pieces", lambda p: p["text"]), "").alias("snippet"))
 
 
@@ -253,9 +255,64 @@ def search(spark, sf_dir):
     return found.select("id", "arxiv_id", "url", text("title").alias("title"), text("snippet").alias("snippet"), "authors", "category", "published", F.round("score", 6).alias("score"))
 
 
+def stored_search(spark, sf_dir):
+    """The same search on an index that is built, saved and loaded again."""
+    store_path, index_path = scratch_path(spark, "store"), scratch_path(spark, "index")
+    rows = paper_records(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("id").alias("arxiv_id"), "title", "abstract", "authors", "categories", F.split_part("categories", F.lit(" "), F.lit(1)).alias("primary_category"), T.published_month(F.col("id")).alias("published"))
+    store.write_sorted(rows, store_path)
+    stored = spark.read.schema(store.SCHEMA).parquet(store_path)
+    SearchEngine.build(spark, stored).save(index_path)
+    engine = SearchEngine.load(spark, index_path, stored)
+    _, terms, total, page = engine.matches(QUERY, correct=False)
+    text = lambda pieces: "".join(f"[{p['text']}]" if p["hit"] else p["text"] for p in pieces)
+    found = [(i, r["arxiv_id"], r["url"], text(r["title"]), text(r["snippet"]), r["authors"], r["category"], r["published"], round(score, 6), total) for (i, score), r in zip(page, engine.result_rows(page, terms), strict=True)]
+    return spark.createDataFrame(found, "id long, arxiv_id string, url string, title string, snippet string, authors string, category string, published string, score double, total long")
+
+
+# --- sources and the store
+
+
+def jsonl_source(spark, sf_dir):
+    """The records written as JSON lines and read again."""
+    path = scratch_path(spark, "jsonl")
+    records.write_jsonl(paper_records(spark, sf_dir).drop("doc_id"), path)
+    return records.read_jsonl(spark, path)
+
+
+def oai_source(spark, sf_dir):
+    """Records in the words of the documents as harvested XML, every tenth deleted, read again."""
+    path = scratch_path(spark, "oai")
+    plain = lambda c: F.array_join(T.words(F.col(c)), "\n  ")
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    names = F.concat(tag("author", F.concat(tag("keyname", F.split_part("authors", F.lit(" "), F.lit(1))), tag("forenames", F.lit("A. B.")))), tag("author", tag("keyname", F.lit("Writer"))))
+    fields = F.concat(tag("id", F.col("id")), tag("authors", names), tag("title", plain("title")), tag("categories", F.col("categories")), tag("abstract", plain("abstract")))
+    body = F.when(F.col("doc_id") % 10 == 0, F.lit('<header status="deleted"><identifier>x</identifier></header>')).otherwise(F.concat(F.lit("<header><identifier>y</identifier></header>"), tag("metadata", tag("arXiv", fields))))
+    # a page of a harvest holds a bounded number of records
+    pages = paper_records(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 100).alias("page")).agg(F.array_join(F.collect_list(tag("record", body)), "").alias("records"))
+    pages.select("page", tag("OAI-PMH", tag("ListRecords", F.col("records")))).write.partitionBy("page").text(path)
+    return records.read_oai(spark, path).withColumn("authors", F.array_join("authors", "; "))
+
+
+def store_ingest(spark, sf_dir):
+    """Added to an empty store in the order of doc_id, then a second time, which adds nothing."""
+    kept = store.Store(spark, scratch_path(spark, "ingest"))
+    ordered = paper_records(spark, sf_dir).orderBy("doc_id").drop("doc_id")
+    first, second = kept.add(ordered), kept.add(ordered)
+    return kept.rows().select("id", "arxiv_id", "title", "primary_category", F.lit(first).cast("long").alias("added"), F.lit(second).cast("long").alias("added_again"))
+
+
+def word_lookup(spark, sf_dir):
+    return lexicon.lookup(vocabulary(spark, sf_dir), _words(spark))
+
+
 # --- evaluation
 
 
+def known_item_sample(spark, sf_dir):
+    """Known-item evaluation of a reproducible sample of titles."""
+    return evaluation.known_item(corpus(spark, sf_dir), SAMPLE)
+
+
 def known_item_eval(spark, sf_dir):
     return evaluation.known_item(corpus(spark, sf_dir))
 
@@ -274,6 +331,6 @@ QUERIES = {
         postings, doc_norm, term_idf, vocabulary, title_phrases, phrase_weights, category_counts, engine_stats,
         score_bm25, score_tf, score_match, rank_bm25_topk, rank_category, rank_page, match_total,
         complete_words, complete_phrases, suggest_single, suggest_multi, edit_distance, fuzzy_candidates, spell_correct, correct_query,
-        highlight_title, best_snippet, search, known_item_eval, percentiles,
+        highlight_title, best_snippet, search, stored_search, jsonl_source, oai_source, store_ingest, word_lookup, known_item_sample, known_item_eval, percentiles,
     )
 }

@@ -1,10 +1,12 @@
-"""A Spark session for the command line; on a cluster, submit with your own settings."""
+"""A Spark session for the command line, and what jobs need of any session: scratch space, inputs over all cores."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "scriptorium") -> SparkSession:
@@ -14,3 +16,36 @@ def session(app: str = "scriptorium") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session (as in tests) gets a folder of its own when it is unset.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="scratch-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer splits than keep the cores busy, dealt over them by key; a large scan stays as it is.
+
+    Rows of one key stand in one partition afterwards, so that aggregates by the key and more need no other shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < 2 * cores else rows

@@ -33,7 +33,8 @@ def read_oai(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.schema(_OAI).format("xml").option("rowTag", "record").option("ignoreNamespace", "true").load(path)
     rows = pages.where("metadata is not null").select("metadata.arXiv.*")
     names = F.filter(F.transform("authors.author", lambda a: F.trim(F.concat_ws(" ", a["forenames"], a["keyname"]))), lambda n: n != "")
-    return rows.select("id", T.clean(F.col("title")).alias("title"), T.clean(F.col("abstract")).alias("abstract"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.coalesce("categories", F.lit("")).alias("categories"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select(text("id").alias("id"), T.clean(text("title")).alias("title"), T.clean(text("abstract")).alias("abstract"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.coalesce("categories", F.lit("")).alias("categories"))
 
 
 def oai_control(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +87,8 @@ def harvested(records: DataFrame, most: int | None = None) -> DataFrame:
     return full.limit(most) if most is not None else full
 
 
-def normalise(records: DataFrame) -> DataFrame:
-    """Rows of the store: cleaned fields, authors joined, primary category, month of publication."""
+def normalise(records: DataFrame, *carry: str) -> DataFrame:
+    """Rows of the store: cleaned fields, authors joined, primary category, month of publication. carry: further columns to keep."""
     is_list = dict(records.dtypes).get("authors") == "array<string>"
     authors = F.array_join("authors", ", ") if is_list else F.coalesce(F.array_join(F.from_json("authors", "array<string>", {"mode": "PERMISSIVE"}), ", "), F.col("authors"))
     categories = T.clean(F.coalesce("categories", F.lit("")))
@@ -99,6 +100,7 @@ def normalise(records: DataFrame) -> DataFrame:
         categories.alias("categories"),
         F.when(categories == "", F.lit("unknown")).otherwise(F.split_part(categories, F.lit(" "), F.lit(1))).alias("primary_category"),
         T.published_month(F.col("id")).alias("published"),
+        *carry,
     )
 
 

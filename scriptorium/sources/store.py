@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .records import normalise
 
 SCHEMA = "id long, arxiv_id string, title string, abstract string, authors string, categories string, primary_category string, published string"
@@ -36,6 +37,15 @@ def naive_search(store: DataFrame, words: list[str], limit: int = 10) -> DataFra
     return store.where(reduce(lambda a, b: a & b, map(holds, words))).select("id").orderBy("id").limit(limit)
 
 
+#: Small row groups, sorted by id: a lookup by ids reads few of them.
+ROW_GROUP = 1 << 20
+
+
+def write_sorted(rows: DataFrame, path: str) -> None:
+    """Append rows to a store's folder in the order of id."""
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 class Store:
     """A folder of Parquet files with the columns of SCHEMA."""
 
@@ -55,15 +65,11 @@ class Store:
         """Append what is new, with ids that go on from the largest; returns how many rows were added."""
         before = self.rows()
         last = before.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        kept = new_records(records.withColumn("_at", F.monotonically_increasing_id()), before, F.col("_at"))
-        fresh = normalise(kept.orderBy("_at")).rdd.zipWithIndex().map(lambda x: (x[1] + last + 1, *x[0]))
-        added = self.spark.createDataFrame(fresh, SCHEMA).persist()
-        try:
-            n = added.count()
-            if n:
-                added.write.mode("append").parquet(self.path)
-        finally:
-            added.unpersist()
+        kept = numbered(new_records(records.withColumn("_at", F.monotonically_increasing_id()), before, F.col("_at")), F.col("_at"), "_n")
+        n = kept.count()
+        if n:
+            rows = normalise(kept, "_n").withColumn("id", F.col("_n") + last + 1).select(*(f.name for f in before.schema))
+            write_sorted(rows, self.path)
         return n
 
     def page(self, after: int, size: int) -> DataFrame:

@@ -111,6 +111,34 @@ def test_facts_and_reload(spark, store, engine, tmp_path):
     assert SearchEngine.head(spark, path)["folder"] != head["folder"]
 
 
+def test_driver_and_executors_score_alike(spark, engine, monkeypatch):
+    """Where the postings are too many for the driver the executors score them, with the same page and total."""
+    from scriptorium.plans import engine as module
+
+    asked = [(["river", "attention", "model"], None, 2, 1), (["river"], "cs.RO", 10, 0), (["zzz"], None, 10, 0)]
+    here = [engine._answer(*a, ["river", "zzz"]) for a in asked]
+    monkeypatch.setattr(module, "DRIVER_ROWS", 0)
+    for (total, page, known), a in zip(here, asked, strict=True):
+        there = engine._answer(*a, ["river", "zzz"])
+        assert (total, known, [i for i, _ in page]) == (there[0], there[2], [i for i, _ in there[1]])
+        assert [s for _, s in page] == pytest.approx([s for _, s in there[1]], abs=1e-9)
+
+
+def test_versions(spark, store, tmp_path):
+    """A half-written version is never read; the one before the newest stays, older ones go."""
+    path = str(tmp_path / "index")
+    heads = []
+    for _ in range(3):
+        SearchEngine.build(spark, store.rows().where("id < 4")).save(path)
+        heads.append(SearchEngine.head(spark, path)["folder"])
+    assert heads == sorted(set(heads)) and sorted(p.name for p in (tmp_path / "index").iterdir()) == heads[1:]
+    (tmp_path / "index" / "v999999999999999").mkdir()
+    assert SearchEngine.head(spark, path)["folder"] == heads[-1]
+    assert SearchEngine.load(spark, path, store.rows()).megabytes() is not None
+    with pytest.raises(FileNotFoundError):
+        SearchEngine.head(spark, str(tmp_path / "none"))
+
+
 def test_half_even():
     assert half_even(1.0005, 3) == 1.0 and half_even(0.1235, 3) == 0.123
 

@@ -64,8 +64,10 @@ def test_edit_distance(spark):
 
 
 def marks(spark, text, terms, **k):
-    f = (lambda t: T.snippet(t, F.array(*map(F.lit, terms)), **k)["pieces"]) if k else (lambda t: T.highlight(t, F.array(*map(F.lit, terms))))
-    return [(p.text, p.hit) for p in one(spark, text, f)]
+    f = (lambda t: T.snippet(t, terms, **k)["pieces"]) if k else (lambda t: T.highlight(t, terms))
+    got = [(p.text, p.hit) for p in one(spark, text, f)]
+    assert got == [(p["text"], p["hit"]) for p in T.plain_highlight(text, terms, **k)]
+    return got
 
 
 def test_highlight(spark):
@@ -86,11 +88,30 @@ def test_snippet(spark):
 
 def test_window_start(spark):
     rng = random.Random(5)
-    lists = [[rng.randrange(2) for _ in range(rng.randrange(30))] for _ in range(100)]
-    rows = spark.createDataFrame([(x,) for x in lists], "x array<int>").select("x", T.window_start(F.col("x"), 5).alias("y")).collect()
+    lists = [[rng.randrange(2) if rng.random() < 0.5 else 0 for _ in range(rng.randrange(30))] for _ in range(200)]
+    places = [([i for i, h in enumerate(x) if h], len(x)) for x in lists]
+    rows = spark.createDataFrame(places, "p array<int>, n int").select(T.window_start(F.col("p"), F.col("n"), 5).alias("y")).collect()
+    for x, r in zip(lists, rows, strict=True):
+        starts = range(max(1, len(x) - 4))
+        assert r.y == max(starts, key=lambda s: (sum(x[s : s + 5]), -s))
+
+
+def test_snippets_of_random_texts(spark):
+    """Columns and driver agree, with text before the first word and behind the last."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(("river ", "Rivers, ", "delta", " sea ", "-- ", "x", "ß ")) for _ in range(rng.randrange(40))) for _ in range(150)]
+    terms = ["river", "delta", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.highlight(F.col("t"), terms).alias("h"), T.snippet(F.col("t"), terms, 7).alias("s")).collect()
     for r in rows:
-        starts = range(max(1, len(r.x) - 4))
-        assert r.y == max(starts, key=lambda s: (sum(r.x[s : s + 5]), -s))
+        assert [p.asDict() for p in r.h] == T.plain_highlight(r.t, terms) and [p.asDict() for p in r.s["pieces"]] == T.plain_highlight(r.t, terms, 7)
+
+
+def test_surface_forms():
+    """Every word that has one of the stems, and no other."""
+    stems = ["bias", "city", "class", "index", "river", "siz", "tie", "us"]
+    words = {w + e for w in ("bias", "cit", "class", "index", "indic", "river", "siz", "tie", "us", "t") for e in ("", "s", "es", "ies", "y", "ses")}
+    assert set(T.surface_forms(stems)) & words == {w for w in words if T.plain_stem(w) in stems}
+    assert T.surface_forms([]) == []
 
 
 def test_plain_forms(spark):
