@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove, scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes 0x41-0x5A to lower case, all others as they are.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
-    Only a local session (as in tests) gets a folder of its own when it is unset.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it none of the columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Scratch:
@@ -38,7 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, label)
         self.n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -49,10 +46,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for df in tables:
+            remove(self.spark, df._scratch_path)
+
+
+def map_whole_rows(docs: DataFrame, text_col: str, run) -> DataFrame:
+    """``run`` (batches, place of the text) over whole rows, all columns passing by place, whatever their names."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    k = docs.columns.index(text_col)
+    return plain.mapInArrow(lambda batches: run(batches, k), plain.schema).toDF(*docs.columns)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,6 +64,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def texts(batch: pa.RecordBatch, name: str = "text"):
+def texts(batch: pa.RecordBatch, name: str | int = "text"):
     """The texts of a batch one by one, null as None; only one is held as a Python string at a time."""
-    return (x.as_py() for x in batch.column(batch.schema.get_field_index(name)))
+    return (x.as_py() for x in batch.column(name if isinstance(name, int) else batch.schema.get_field_index(name)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_BYTES, id_text, texts
+from ._shared import LOWER_BYTES, id_text, map_whole_rows, texts
 
 #: Words are runs of ASCII letters, digits and bytes of non-ASCII characters.
 _TO_WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in LOWER_BYTES)
@@ -143,13 +143,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10
     """The documents, all columns as they are, in which no window occurs."""
     shipped = ship(benchmark, block_words, item_col, item_text_col)
 
-    def run(batches):
+    def run(batches, k):
         finder = Finder(shipped, window)
         for batch in batches:
-            found = finder.search([words_of(t) for t in texts(batch, text_col)])
+            found = finder.search([words_of(t) for t in texts(batch, k)])
             yield batch.filter(pa.array([not spans for _, spans in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole_rows(docs, text_col, run)
 
 
 def digest(found: DataFrame) -> DataFrame:

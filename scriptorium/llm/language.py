@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import texts
+from ._shared import map_whole_rows, texts
 
 UNKNOWN = "und"
 #: Spans of each calibration text.
@@ -239,30 +239,36 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """The documents with lang_pred, score and rejected added, each name after ``prefix``.
-
-    Columns of the documents with these names are replaced.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = [prefix + x for x in ("lang_pred", "score", "rejected")]
-    kept = docs.select(*(f"`{c}`" for c in docs.columns if c not in names))
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The identifier as it is, held_out, lang_pred, score and rejected of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    kinds = {"lang_pred": (T.StringType(), pa.string()), "score": (T.DoubleType(), pa.float64()), "rejected": (T.BooleanType(), pa.bool_())}
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, (t, _) in kinds.items())])
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in texts(batch, text_col)]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+            found = [m.predict(t) for t in texts(batch)]
+            columns = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "held_out", *kinds])
+
+    return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches, k):
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not m.predict(t)[2] for t in texts(batch, k)], pa.bool_()))
 
-    return kept.mapInArrow(run, schema)
+    return map_whole_rows(docs, text_col, run)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Fit on the documents themselves and predict all of them: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    inner = predict(rows, model)
-    return inner.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, model, id_col=id_col, text_col=text_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import id_text, texts
+from ._shared import id_text, map_whole_rows, texts
 
 KINDS = ("assign", "access", "hex", "random")
 # The patterns that the contract names.
@@ -166,12 +166,11 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", length_col: str | None =
             end = max(end, b)
         return "".join([*out, text[end:]]) if out else text
 
-    def run(batches):
+    def run(batches, k):
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            yield batch.set_column(k, text_col, pa.array([clean(t) for t in texts(batch, text_col)], batch.schema.field(k).type))
+            yield batch.set_column(k, batch.schema.names[k], pa.array([clean(t) for t in texts(batch, k)], batch.schema.field(k).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_whole_rows(docs, text_col, run)
     return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
 
 

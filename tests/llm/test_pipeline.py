@@ -39,13 +39,28 @@ def test_stages(spark):
     check_packed(steps[-1].withColumn("ids_crc32", F.crc32("ids")).collect(), [(i, r.text) for i, r in rows[4].items()])
 
 
+#: Names that any stage gives to columns of its own, and names that need quoting.
+NAMES = (
+    "lang_pred rejected score draw chance extra size familiarity held_out component component_id kept kept_id _kept_id times row node digest signature keys key a b sa sb leader n n_shingles"
+    " _language_rejected _language_score _language_lang_pred items spans n_hit n_words kind start end prompt ids length doc_tokens loss_tokens sequence_id offset matches text_ doc_id_ word max min"
+).split()
+
+
 def test_edges(spark, edges, no_docs):
-    for docs in (no_docs, clashing(edges, "lang_pred", "rejected", "component", "kept", "_language_rejected")):
+    """Nulls, empty and very long texts, repeated rows, clashing and odd names: no column or value changes but text and length."""
+    odd = clashing(edges, *NAMES, "a`b", "a.b", "two words", "`").withColumn("nested", F.struct(F.array("doc_id").alias("x")))
+    for docs in (no_docs, odd):
         out = docs
+        before = {(r.doc_id, r.text): r for r in docs.collect()}
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, out, DATA)
-            assert [c for c in docs.columns if c != "_language_rejected"] == [c for c in out.columns if c != "_language_rejected"]
-        assert corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() >= 0
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            rows = out.collect()
+            for r in rows:
+                was = before[r.doc_id, r.text]
+                assert r.n_chars in (was.n_chars, len(r.text)) and r.asDict() | {"n_chars": 0} == was.asDict() | {"n_chars": 0}
+        assert corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() >= len(rows)
+    assert {r.doc_id for r in rows} == {None, 4, 6, 7, 8} and sum(r.doc_id == 4 for r in rows) == 1
 
 
 def test_rows_that_share_an_identifier(spark):
@@ -54,6 +69,10 @@ def test_rows_that_share_an_identifier(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, c), (3, c)], "doc_id long, text string")
     got = corpus_pipeline.deduplicate(spark, docs, DATA).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (2, c)])
+    # of rows equal in identifier and text the first by its other columns
+    docs = spark.createDataFrame([(1, a, "y"), (1, a, "x"), (1, b, None), (None, a, "z"), (None, a, "z")], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.deduplicate(spark, docs, DATA).collect()
+    assert sorted((str(r.doc_id), r.text, str(r.source)) for r in got) == sorted([("1", a, "x"), ("1", b, "None"), ("None", a, "z"), ("None", a, "z")])
 
 
 def test_names():
