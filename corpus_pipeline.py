@@ -11,38 +11,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, language, near_dedup, packing, secrets
-from scriptorium.llm._shared import Scratch
+from scriptorium.llm._shared import Scratch, fresh_name, quoted
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go: without a letter, or less familiar than its threshold for their length."""
-    model = language.fit(docs)
-    return language.predict(docs, model, prefix="_language_").where("not _language_rejected").select(*(f"`{c}`" for c in docs.columns))
+    """Documents that the language model rejects go: without a letter, or less familiar than its threshold for their length.
+
+    Null and empty texts go, since they have no letter; the length of a text does not matter. Equal texts are judged alike,
+    repeated rows one by one; nothing to learn from rejects all, and an empty table stays empty. No column is added on
+    the way, so none can clash.
+    """
+    return language.accepted(docs, language.fit(docs))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more.
 
-    Rows that share an identifier are one document and stay or go together, but of rows equal in identifier and text one
-    stays. Documents without an identifier cannot be named, so they stay.
+    The smallest identifier of a group stays. Rows that share an identifier are one document and stay or go together; of
+    rows equal in identifier and text the one whose columns come first as JSON stays. Documents without an identifier
+    cannot be named, so they stay; so do null and empty texts, which are like no other. Texts are compared whole. An empty
+    table stays empty. Names of added columns are chosen beside those of the documents.
     """
-    kept = near_dedup.near_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    times, row = fresh_name(docs, "times"), fresh_name(docs, "row")
+    found = near_dedup.near_dedup(docs).where("kept and doc_id is not null")
+    kept = found.groupBy(F.col("doc_id").alias(row)).agg(F.count("*").alias(times))
+    named = docs.join(kept, F.col("doc_id") == F.col(row)).drop(row)
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    once = named.where(F.col(times) == 1).select(*columns)
+    whole = F.struct(*columns)
+    one = named.where(F.col(times) > 1).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(F.col(row).alias("row")).select("row.*")
+    return once.unionAll(one).unionAll(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a ten-word window of a benchmark item go."""
+    """Documents that hold a ten-word window of a benchmark item go.
+
+    Null and empty texts have no words and stay; whole texts are searched, whatever their length. Repeated rows are judged
+    one by one and alike; an empty table or benchmark drops nothing. All columns pass as they are.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark in the text, and ``n_chars`` follows."""
+    """Secrets are replaced by a mark in the text, and ``n_chars`` follows where there is such a column.
+
+    All rows stay. Null and empty texts stay as they are; whole texts are scanned; overlapping spans become one mark, and
+    equal texts are treated alike. An empty table stays empty. Other columns pass as they are.
+    """
     return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: pieces with their ids."""
+    """The training sequences: pieces with their ids.
+
+    A null or empty text is its end id alone; a very long one is cut over as many sequences as it takes. Repeated rows are
+    packed each on their own, ties in the order of arrival; an empty table gives no row. Only identifier and text are read.
+    """
     return packing.pack(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
