@@ -11,24 +11,29 @@
    any two components so found, then all other proposals that still lie between two components.
 4. A bucket whose members are still in several components compares every member outside its main component with every
    member of another component (a pair in the first band that it shares, so once). This runs in blocks of at most about
-   ``block`` by ``block`` members: signatures batch by batch, then the full sets, and only links that join two components
-   leave a block, so pairs are never rows. No comparison inside one component is needed: it could not change a component.
+   ``block`` by ``block`` members: first signatures alone, batch by batch, and only members that some signature agrees with
+   bring their full sets to the same block; only links that join two components leave it, so pairs are never rows. No
+   comparison inside one component is needed: it could not change a component.
    So links are lost only by banding (probability (1 - t^rows)^bands at similarity t: 3e-6 for the defaults at 0.8) and by
    ``miss``.
 
-Scale: nothing is collected but counts; groups of copies are summed map-side; joins on band keys and nodes are plain
-shuffle joins that adaptive execution can split; components are found by contraction (hook to the smallest neighbour,
-jump pointers, contract the links). Intermediate tables are written to the shared folder, which cuts the lineage.
+Scale: nothing is collected but counts; groups of copies are summed map-side; a leader with more than ``HOT`` proposals
+is salted, other joins on band keys and nodes are plain shuffle joins that adaptive execution can split; components are found by contraction (hook to the smallest neighbour,
+jump pointers, contract the links). Intermediate tables are written to the shared folder, which
+cuts the lineage, and removed after their last reader; two narrow ones stay, which the result reads.
 
 Defined results: null and empty texts, and those without words, have an empty set, are linked with nothing and kept;
 rows that share an identifier are one document; rows with a null identifier get the smallest identifier of the rows with
-the same set, else null, and are kept only in the latter case; texts of fewer words than a shingle are one shingle.
+the same set, else null, and are kept only in the latter case; texts of fewer words than a shingle are one shingle; very
+long texts are taken whole; ties between proposals go to the larger identifier and never change a component; an empty table
+gives no row; only the identifier and text are read, so no column name clashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,11 @@ from ._shared import LOWER_BYTES, Scratch, id_text, texts
 #: At most so many identifiers (16 MB) are broadcast to select the texts of which sets are needed; beyond it they join by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: A node in more pairs than this has its pairs dealt by a salt.
+HOT = 20_000
+#: Sets of a task that are remembered, so that repeated rows bring theirs once.
+REMEMBERED = 200_000
+
 
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the last ``limit`` distinct ones."""
@@ -118,22 +128,25 @@ def _signed(docs: DataFrame, words: int, minhash: MinHash) -> DataFrame:
                 s = shingle_set(text, words, hashes)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signatures.append(minhash.signature(s))
-            keys = minhash.keys(np.array(signatures, np.uint32).reshape(len(sizes), minhash.n))
-            empty = np.array([d is None for d in digests], bool)
-            offsets = np.arange(0, (len(sizes) + 1) * minhash.bands, minhash.bands, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([None if d is None else s.tobytes() for s, d in zip(signatures, digests, strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))) if not empty.any() else pa.array([None if e else k for k, e in zip(keys, empty, strict=True)], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "digest", "signature", "keys"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>")
+                signatures.append(minhash.signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+
+
+def _signatures(column, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, n)
+
+
+def _banded(nodes: DataFrame, minhash: MinHash) -> DataFrame:
+    """node and key of each of its bands."""
+
+    def run(batches):
+        for batch in batches:
+            keys = minhash.keys(_signatures(batch.column(1), minhash.n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), minhash.bands)), pa.array(keys.reshape(-1))], names=["node", "key"])
+
+    return nodes.select("node", "signature").mapInArrow(run, "node long, key long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -148,6 +161,9 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             nodes, sets = [], []
             for node, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 if (s := shingle_set(text, words, hashes)).size and (node, key := hash(s.tobytes())) not in seen:
+                    # a repeated row that is not remembered any more does no harm
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add((node, key))
                     nodes.append(node)
                     sets.append(s.view(np.int64))
@@ -156,10 +172,28 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return chosen.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _beside(pairs: DataFrame, side: DataFrame, name: str) -> DataFrame:
+    """The pairs with the rows of ``side`` for their node ``name``.
+
+    A node in more than ``HOT`` pairs (the leader of a large bucket) is copied under one salt per ``HOT`` pairs, so that its
+    pairs spread over tasks. There are at most one ``HOT``-th as many such nodes as pairs.
+    """
+    hot = pairs.groupBy(name).agg(F.ceil(F.count("*") / F.lit(HOT)).cast("int").alias("salts")).where("salts > 1")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.join(hot, name, "left").withColumn("salt", F.pmod(F.hash("a", "b"), salts)).drop("salts")
+    right = side.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [name, "salt"]).drop("salt")
+
+
+def _steps(n: int, batch_size: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
+    """Batches of a signature's hashes with the fewest equal ones, up to there, that go on."""
+    return [(i, min(i + batch_size, n), least_matches(min(i + batch_size, n), threshold, miss)) for i in range(0, n, batch_size)]
+
+
 def _scored(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float, n: int, batch_size: int) -> DataFrame:
     """a, b, matches of the pairs that the sequential test keeps."""
-    steps = [(i, min(i + batch_size, n)) for i in range(0, n, batch_size)]
-    least = [least_matches(j, threshold, miss) for _, j in steps]
+    steps = _steps(n, batch_size, threshold, miss)
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"s{name}"))
 
     def run(batches):
@@ -167,15 +201,15 @@ def _scored(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float, n
             if not batch.num_rows:
                 continue
             a, b, sa, sb = batch.columns
-            x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint32).reshape(-1, n) for s in (sa, sb))
+            x, y = _signatures(sa, n), _signatures(sb, n)
             alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for (i, j), m in zip(steps, least, strict=True):
+            for i, j, m in steps:
                 matches[alive] += (x[alive, i:j] == y[alive, i:j]).sum(axis=1)
                 alive = alive[matches[alive] >= m]
             keep = pa.array(alive)
             yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep), pa.array(matches[alive])], names=["a", "b", "matches"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = _beside(pairs, side("b"), "b").join(side("a"), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
 
@@ -184,7 +218,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = F.size(F.array_intersect("sa", "sb"))
     percent = F.lit(round(threshold * 100))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    joined = _beside(pairs.select("a", "b"), side("b"), "b").join(side("a"), "a")
+    return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -213,55 +248,76 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray], pairs: tuple
     return out[i, j].astype(np.int64)
 
 
-def _between_components(blocks: DataFrame, minhash: MinHash, threshold: float, miss: float, batch_size: int) -> DataFrame:
-    """Links a, b found in blocks of one bucket (key, ob, mb): members with ``left`` against those without."""
-    n = minhash.n
-    steps = [(i, min(i + batch_size, n)) for i in range(0, n, batch_size)]
-    least = [least_matches(j, threshold, miss) for _, j in steps]
-    percent = round(threshold * 100)
+class Block:
+    """One block of a bucket: the pairs of a left and a right member that the bucket must compare, by place."""
 
-    def run(table: pa.Table) -> pa.Table:
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    def __init__(self, table: pa.Table, minhash: MinHash):
         side = np.array(table["left"].to_pylist(), bool)
-        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        self.left, self.right = np.flatnonzero(side), np.flatnonzero(~side)
+        self.node, self.component, self.outside = (np.array(table[c].to_pylist()) for c in ("node", "component", "outside"))
+        self.signatures = _signatures(table["signature"], minhash.n)
+        self.keys = minhash.keys(self.signatures)
+        self.key = table["key"][0].as_py()
+
+    def pairs(self, steps: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different components, in the first band that they share, that the sequential test keeps."""
+        left, right, keys = self.left, self.right, self.keys
         if not len(left) or not len(right):
-            return empty
-        node, component, outside = (np.array(table[c].to_pylist()) for c in ("node", "component", "outside"))
-        keys = np.array(table["keys"].to_pylist(), np.int64).reshape(len(node), -1)
-        signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, n)
-        sets = [np.array(s, np.int64) for s in table["shingles"].to_pylist()]
-        key = table["key"][0].as_py()
-        # the first band that two members share, if it is this one; two members outside the main component meet twice
-        band = (keys[left[0]] == key).argmax()
-        i, j = np.nonzero((component[left][:, None] != component[right][None, :]) & (~outside[right][None, :] | (node[left][:, None] < node[right][None, :])))
+            return left[:0], right[:0]
+        band = (keys[left[0]] == self.key).argmax()
+        # two members outside the main component meet twice
+        i, j = np.nonzero((self.component[left][:, None] != self.component[right][None, :]) & (~self.outside[right][None, :] | (self.node[left][:, None] < self.node[right][None, :])))
         if band:
             before = np.zeros(len(i), bool)
             for k in range(band):
                 before |= keys[left[i], k] == keys[right[j], k]
             i, j = i[~before], j[~before]
         matches = np.zeros(len(i), np.int64)
-        for (lo, hi), m in zip(steps, least, strict=True):
-            matches += (signatures[left[i], lo:hi] == signatures[right[j], lo:hi]).sum(axis=1)
+        for lo, hi, m in steps:
+            matches += (self.signatures[left[i], lo:hi] == self.signatures[right[j], lo:hi]).sum(axis=1)
             alive = matches >= m
             i, j, matches = i[alive], j[alive], matches[alive]
-        if not len(i):
-            return empty
-        both = _intersections([sets[x] for x in left], [sets[x] for x in right], (i, j))
-        size = np.array([len(x) for x in sets])
-        good = 100 * both >= percent * (size[left[i]] + size[right[j]] - both)
+        return left[i], right[j]
+
+
+def _alike(blocks: DataFrame, minhash: MinHash, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Members (key, ob, mb, left, node) of blocks that are in a pair whose signatures agree."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = Block(table, minhash)
+        some = np.unique(np.concatenate(found.pairs(steps))).astype(np.int64)
+        return table.select(["key", "ob", "mb", "left", "node"]).take(pa.array(some))
+
+    return blocks.groupBy("key", "ob", "mb").applyInArrow(run, "key long, ob int, mb int, left boolean, node long")
+
+
+def _between_components(blocks: DataFrame, minhash: MinHash, threshold: float, steps: list[tuple[int, int, int]]) -> DataFrame:
+    """Links a, b found in blocks of one bucket (key, ob, mb): members with ``left`` against those without, on their full sets."""
+    percent = round(threshold * 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        block = Block(table, minhash)
+        x, y = block.pairs(steps)
+        if not len(x):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets = [np.array(s, np.int64) for s in table["shingles"].to_pylist()]
+        at = np.cumsum(~np.isin(np.arange(len(sets)), block.right)) - 1, np.cumsum(np.isin(np.arange(len(sets)), block.right)) - 1
+        both = _intersections([sets[i] for i in block.left], [sets[i] for i in block.right], (at[0][x], at[1][y]))
+        size = np.array([len(s) for s in sets])
+        good = 100 * both >= percent * (size[x] + size[y] - both)
         top: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while (up := top.get(x, x)) != x:
-                x = up
-            return x
+        def find(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                c = up
+            return c
 
         links = []
-        for x, y in zip(left[i[good]].tolist(), right[j[good]].tolist(), strict=True):
-            a, b = find(int(component[x])), find(int(component[y]))
+        for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
+            a, b = find(int(block.component[i])), find(int(block.component[j]))
             if a != b:
                 top[max(a, b)] = min(a, b)
-                links.append((int(node[x]), int(node[y])))
+                links.append((int(block.node[i]), int(block.node[j])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return blocks.groupBy("key", "ob", "mb").applyInArrow(run, "a long, b long")
@@ -273,20 +329,30 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     total = None
     while not now.isEmpty():
         ends = now.union(now.select("b", "a")).toDF("node", "other")
-        hooks = scratch.keep(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("top")))
+        hooks = last = scratch.keep(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("top")))
         while True:
             up = hooks.select(F.col("node").alias("top"), F.col("top").alias("higher"))
             jumped = scratch.keep(hooks.join(up, "top").select("node", "top", "higher"))
+            scratch.drop(last)
+            last = jumped
             moved = not jumped.where("top <> higher").isEmpty()
             hooks = jumped.select("node", F.col("higher").alias("top"))
             if not moved:
                 break
         as_end = lambda name, hooks=hooks: hooks.select(F.col("node").alias(name), F.col("top").alias(f"top_{name}"))
-        total = hooks if total is None else scratch.keep(total.join(hooks.toDF("top", "higher"), "top", "left").select("node", F.coalesce("higher", "top").alias("top")))
+        before = now
         now = scratch.keep(now.join(as_end("a"), "a").join(as_end("b"), "b").where("top_a <> top_b").select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct())
+        grown = hooks if total is None else total.join(hooks.toDF("top", "higher"), "top", "left").select("node", F.coalesce("higher", "top").alias("top"))
+        old, total = total, scratch.keep(grown)
+        scratch.drop(before, last, *([] if old is None else [old]))
     if total is None:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return total.select("node", F.col("top").alias("component"))
+        total = now.toDF("node", "top")
+        total._scratch_path = now._scratch_path
+    else:
+        scratch.drop(now)
+    out = total.select("node", F.col("top").alias("component"))
+    out._scratch_path = total._scratch_path
+    return out
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -313,51 +379,72 @@ def near_dedup(
     """Per row: n_shingles, component_id (the smallest identifier linked to it) and kept (it is that identifier)."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     minhash = MinHash(bands, rows, seed)
+    steps = _steps(minhash.n, batch_size, threshold, miss)
     docs = id_text(docs, id_col, text_col)
     signed = scratch.keep(_signed(docs, shingle_words, minhash))
     has_set = signed.where("digest is not null and doc_id is not null")
-    nodes = scratch.keep(has_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("keys").alias("keys")))
+    nodes = scratch.keep(has_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+    sized = scratch.keep(signed.select("doc_id", "n_shingles", "digest"))
+    scratch.drop(signed)
 
     # step 2: proposals of each bucket's members to its leader
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = scratch.keep(_banded(nodes, minhash))
     salted = F.col("node").bitwiseXOR(F.xxhash64("key"))
-    buckets = scratch.keep(keyed.groupBy("key").agg(F.min(salted).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(F.xxhash64("key")).alias("leader")))
+    buckets = keyed.groupBy("key").agg(F.min(salted).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(F.xxhash64("key")).alias("leader"))
     members = scratch.keep(keyed.join(buckets, "key").select("key", "node", "leader"))
-    proposals = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    scratch.drop(keyed)
+    proposals = scratch.keep(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     scored = scratch.keep(_scored(proposals, nodes, threshold, miss, minhash.n, batch_size))
+    scratch.drop(proposals)
 
     # step 3: exact verification, most promising proposals first
     sets = scratch.keep(_sets(docs, scored.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle_words))
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-    links = scratch.keep(_verified(best, sets, threshold))
-    found = components(links, scratch)
+    found = None
+    links: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The components with the links that are among the pairs."""
+        asked = scratch.keep(pairs.select("a", "b"))
+        links.append(scratch.keep(_verified(asked, sets, threshold)))
+        scratch.drop(asked, *([] if found is None else [found]))
+        return components(reduce(DataFrame.union, links), scratch)
+
+    found = verify(scored.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b")))
     between = _apart(scored, found).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("matches", "a", "b")).alias("p"))
-    links = scratch.keep(links.union(_verified(between.select("p.a", "p.b"), sets, threshold)))
-    found = components(links, scratch)
-    links = scratch.keep(links.union(_verified(_apart(scored, found), sets, threshold)))
-    found = components(links, scratch)
+    found = verify(between.select("p.a", "p.b"))
+    found = verify(_apart(scored, found))
+    scratch.drop(scored, sets)
 
     # step 4: what a leader could not show
     labelled = scratch.keep(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    scratch.drop(members)
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
     blocks_of = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    mixed = scratch.keep(mixed.select("key", F.col("top.component").alias("main"), blocks_of(F.col("size") - F.col("top.n")).alias("obs"), blocks_of(F.col("size")).alias("mbs")))
-    if not mixed.isEmpty():
-        others = scratch.keep(labelled.join(mixed, "key").select("*", (F.col("component") != F.col("main")).alias("outside")))
-        chosen = others.select("node").distinct()
-        wanted = scratch.keep(_sets(docs, chosen, shingle_words).join(nodes.select("node", "signature", "keys"), "node"))
+    mixed = mixed.select("key", F.col("top.component").alias("main"), blocks_of(F.col("size") - F.col("top.n")).alias("obs"), blocks_of(F.col("size")).alias("mbs"))
+    others = scratch.keep(labelled.join(mixed, "key").select("*", (F.col("component") != F.col("main")).alias("outside")))
+    scratch.drop(labelled)
+    if not others.isEmpty():
         number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         columns = ("key", "ob", "mb", "left", "node", "component", "outside")
         left = others.where("outside").withColumns({"ob": number(F.col("obs")), "left": F.lit(True)}).withColumn("mb", every("mbs")).select(*columns)
         right = others.withColumns({"mb": number(F.col("mbs")), "left": F.lit(False)}).withColumn("ob", every("obs")).select(*columns)
-        more = scratch.keep(_between_components(left.unionAll(right).join(wanted, "node"), minhash, threshold, miss, batch_size))
-        if not more.isEmpty():
-            links = scratch.keep(links.union(more))
-            found = components(links, scratch)
+        blocks = left.unionAll(right).join(nodes.select("node", "signature"), "node")
+        # only members that some signature agrees with bring their sets
+        alike = scratch.keep(_alike(blocks, minhash, steps))
+        if not alike.isEmpty():
+            wanted = scratch.keep(_sets(docs, alike.select("node").distinct(), shingle_words))
+            more = scratch.keep(_between_components(alike.join(others.select("key", "node", "component", "outside"), ["key", "node"]).join(nodes.select("node", "signature"), "node").join(wanted, "node"), minhash, threshold, steps))
+            scratch.drop(wanted)
+            if not more.isEmpty():
+                links.append(more)
+                scratch.drop(found)
+                found = components(reduce(DataFrame.union, links), scratch)
+        scratch.drop(alike)
 
     # every row by its set
     known = scratch.keep(nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
-    joined = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    scratch.drop(others, nodes, found, *links)
+    joined = sized.join(known, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -70,6 +70,42 @@ def test_bridge_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 2)
 
 
+def chained(rng, n, words=120, changes=4):
+    """Texts of which only neighbours reach the threshold."""
+    now = prose(rng, words).split()
+    out = []
+    for _ in range(n):
+        out.append(" ".join(now))
+        for _ in range(changes):
+            now[rng.randrange(words)] = "".join(rng.choice("xyzuvw") for _ in range(5))
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"BROADCAST_IDS": 0}, {"HOT": 3, "REMEMBERED": 1}, {"HOT": 3, "BROADCAST_IDS": 0}])
+def test_many_blocks(spark, monkeypatch, settings):
+    """Buckets of many small blocks, joins by shuffle, salted leaders: all the same components."""
+    for name, value in settings.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(26)
+    docs = [*chained(rng, 40), *chained(rng, 25, 60, 2), *([prose(rng, 50)] * 7)]
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    for n in (2, 5):
+        got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle_words=n, block=3).collect()
+        assert {r.doc_id: r.component_id for r in got} == brute(rows, n)
+
+
+def test_nothing_is_left_but_two_tables(spark, tmp_path, monkeypatch):
+    """Intermediate tables go with their last reader."""
+    from scriptorium.llm import _shared
+
+    monkeypatch.setattr(_shared, "scratch_path", lambda spark, label: str(tmp_path / label))
+    rng = random.Random(27)
+    rows = list(enumerate(chained(rng, 30)))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2, block=3)
+    assert len(list((tmp_path / "near-dedup").iterdir())) == 2 and got.count() == 30
+
+
 def test_components(spark):
     rng = random.Random(22)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]
