@@ -281,14 +281,14 @@ class Block:
 
 
 def _alike(blocks: DataFrame, minhash: MinHash, steps: list[tuple[int, int, int]]) -> DataFrame:
-    """Members (key, ob, mb, left, node) of blocks that are in a pair whose signatures agree."""
+    """The members of blocks, as they are, that are in a pair whose signatures agree."""
 
     def run(table: pa.Table) -> pa.Table:
         found = Block(table, minhash)
         some = np.unique(np.concatenate(found.pairs(steps))).astype(np.int64)
-        return table.select(["key", "ob", "mb", "left", "node"]).take(pa.array(some))
+        return table.take(pa.array(some))
 
-    return blocks.groupBy("key", "ob", "mb").applyInArrow(run, "key long, ob int, mb int, left boolean, node long")
+    return blocks.groupBy("key", "ob", "mb").applyInArrow(run, blocks.schema)
 
 
 def _between_components(blocks: DataFrame, minhash: MinHash, threshold: float, steps: list[tuple[int, int, int]]) -> DataFrame:
@@ -427,15 +427,16 @@ def near_dedup(
     if not others.isEmpty():
         number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        columns = ("key", "ob", "mb", "left", "node", "component", "outside")
-        left = others.where("outside").withColumns({"ob": number(F.col("obs")), "left": F.lit(True)}).withColumn("mb", every("mbs")).select(*columns)
-        right = others.withColumns({"mb": number(F.col("mbs")), "left": F.lit(False)}).withColumn("ob", every("obs")).select(*columns)
-        blocks = left.unionAll(right).join(nodes.select("node", "signature"), "node")
+        columns = ("key", "ob", "mb", "left", "node", "component", "outside", "signature")
+        # the signature joins a bucket's members, not their copies in blocks
+        signed = others.join(nodes.select("node", "signature"), "node")
+        left = signed.where("outside").withColumns({"ob": number(F.col("obs")), "left": F.lit(True)}).withColumn("mb", every("mbs")).select(*columns)
+        right = signed.withColumns({"mb": number(F.col("mbs")), "left": F.lit(False)}).withColumn("ob", every("obs")).select(*columns)
         # only members that some signature agrees with bring their sets
-        alike = scratch.keep(_alike(blocks, minhash, steps))
+        alike = scratch.keep(_alike(left.unionAll(right), minhash, steps))
         if not alike.isEmpty():
             wanted = scratch.keep(_sets(docs, alike.select("node").distinct(), shingle_words))
-            more = scratch.keep(_between_components(alike.join(others.select("key", "node", "component", "outside"), ["key", "node"]).join(nodes.select("node", "signature"), "node").join(wanted, "node"), minhash, threshold, steps))
+            more = scratch.keep(_between_components(alike.join(wanted, "node"), minhash, threshold, steps))
             scratch.drop(wanted)
             if not more.isEmpty():
                 links.append(more)
