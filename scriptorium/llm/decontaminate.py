@@ -6,21 +6,25 @@ positions where no pattern can end, the block at the end of a window selects a b
 and the strings found there are compared word by word.
 
 Scale: documents are read once and never shuffled. The patterns reach the executors as broadcast blocks of at most
-``block_words`` words, cut by the measured size of the benchmark; with more than one block, each batch of documents is
-searched with one block after another, so memory stays that of one block whatever the benchmark's size.
+``block_words`` words, cut by the measured size of the benchmark, through the driver one block at a time. With more than one
+block every block has a pass over the documents of its own, whose tasks build that block's tables once and hold no other;
+only texts with hits leave a pass, by their SHA-256, and are put together and joined to the documents.
 
 Defined results: a null or empty text has no words; an item with a null id or without words is ignored; items with
-the same id count as one item with several texts; repeated documents give repeated rows.
+the same id count as one item with several texts; repeated documents give repeated rows; very long texts are searched
+whole, one at a time; there are no ties, since every occurrence counts; an empty table gives no row, an empty benchmark
+hits nothing; only the identifier and text are read, so no column name clashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_BYTES, id_text, map_whole_rows, texts
+from ._shared import LOWER_BYTES, Scratch, fresh_name, id_text, map_whole_rows, texts
 
 #: Words are runs of ASCII letters, digits and bytes of non-ASCII characters.
 _TO_WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in LOWER_BYTES)
@@ -85,24 +89,15 @@ def _merge(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-class Finder:
-    """The benchmark's searchers on an executor: from one broadcast, or block by block from several."""
-
-    def __init__(self, shipped: list, window: int):
-        self.shipped, self.window = shipped, window
-        self.ready = searchers(shipped[0].value, window) if len(shipped) == 1 else None
-
-    def search(self, found_in: list[list[bytes]]) -> list[tuple[set, list]]:
-        """Per list of words: the items that occur, the occurrences (start, end)."""
-        out: list[tuple[set, list]] = [(set(), []) for _ in found_in]
-        for block in self.shipped:
-            finders = self.ready if self.ready is not None else searchers(block.load_from_path(block._path), self.window)
-            for words, (names, spans) in zip(found_in, out, strict=True):
-                for f in finders:
-                    for start, items in f.occurrences(words):
-                        names.update(items)
-                        spans.append((start, start + f.m))
-        return out
+def search(finders: list[WuManber], words: list[bytes]) -> tuple[set, list[tuple[int, int]]]:
+    """The items that occur and the merged spans of their windows."""
+    names: set = set()
+    spans = []
+    for f in finders:
+        for start, items in f.occurrences(words):
+            names.update(items)
+            spans.append((start, start + f.m))
+    return names, _merge(spans)
 
 
 def ship(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -> list:
@@ -115,39 +110,79 @@ def ship(benchmark: DataFrame, block_words: int, item_col: str, text_col: str) -
     return [sc.broadcast([(r.item, r.text) for r in part(k).toLocalIterator()]) for k in range(blocks)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
+
+
+def _hits(rows: DataFrame, shipped: list, window: int) -> DataFrame:
+    """key, items, spans of the texts with a hit in any of several blocks. rows: key, text."""
+
+    def of(block):
+        def run(batches):
+            finders = searchers(block.value, window)
+            for batch in batches:
+                found = [search(finders, words_of(t)) for t in texts(batch)]
+                hit = [i for i, (_, spans) in enumerate(found) if spans]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64())), pa.array([sorted(found[i][0]) for i in hit], pa.list_(pa.string())), _spans_array([found[i][1] for i in hit])], names=["key", "items", "spans"])
+
+        # copies of a text are one row of a block
+        return rows.mapInArrow(run, "key string, items array<string>, spans array<struct<start:long,end:long>>").groupBy("key").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+
+    parts = reduce(DataFrame.unionAll, map(of, shipped))
+    # at most one row of each block
+    return parts.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _key() -> F.Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, broadcast_hits: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """Per document: its words, the words inside any occurrence, the items that occur, the hit spans in words."""
     shipped = ship(benchmark, block_words, item_col, item_text_col)
+    rows = id_text(docs, id_col, text_col)
+    if len(shipped) > 1:
+        hits = Scratch(docs.sparkSession, "decontaminate").keep(_hits(rows.select(_key().alias("key"), "text"), shipped, window))
+        few = hits.count() <= broadcast_hits
+        rows = rows.withColumn("key", _key()).join(F.broadcast(hits) if few else hits, "key", "left").select("doc_id", "text", "items", "spans")
 
     def run(batches):
-        finder = Finder(shipped, window)
+        finders = searchers(shipped[0].value, window) if len(shipped) == 1 else None
         for batch in batches:
-            words = [words_of(t) for t in texts(batch)]
-            found = finder.search(words)
-            spans = [_merge(s) for _, s in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    pa.array([sorted(x) for x, _ in found], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
-                ],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+            sizes, names, spans = [], [], []
+            for i, text in enumerate(texts(batch)):
+                words = words_of(text)
+                sizes.append(len(words))
+                if finders is not None:
+                    found, at = search(finders, words)
+                else:
+                    found = batch.column(2)[i].as_py() or ()
+                    at = _merge([(s["start"], s["end"]) for s in batch.column(3)[i].as_py() or ()])
+                names.append(sorted(found))
+                spans.append(at)
+            hit = pa.array([sum(b - a for a, b in s) for s in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), hit, pa.array(names, pa.list_(pa.string())), _spans_array(spans)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, block_words: int = 2_000_000, broadcast_hits: int = 100_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, all columns as they are, in which no window occurs."""
     shipped = ship(benchmark, block_words, item_col, item_text_col)
+    if len(shipped) > 1:
+        rows = docs.select(F.col(text_col).cast("string").alias("text"))
+        hits = Scratch(docs.sparkSession, "decontaminate").keep(_hits(rows.select(_key().alias("key"), "text"), shipped, window).select("key"))
+        key = fresh_name(docs, "key")
+        hits = hits.toDF(key)
+        few = hits.count() <= broadcast_hits
+        return docs.join(F.broadcast(hits) if few else hits, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256) == F.col(key), "left_anti")
 
     def run(batches, k):
-        finder = Finder(shipped, window)
+        finders = searchers(shipped[0].value, window)
         for batch in batches:
-            found = finder.search([words_of(t) for t in texts(batch, k)])
-            yield batch.filter(pa.array([not spans for _, spans in found], pa.bool_()))
+            yield batch.filter(pa.array([not search(finders, words_of(t))[1] for t in texts(batch, k)], pa.bool_()))
 
     return map_whole_rows(docs, text_col, run)
 

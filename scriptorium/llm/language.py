@@ -22,7 +22,11 @@ x languages each) as a broadcast, since mean and linear layer commute.
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text when there is
 nothing to learn from. Languages of fewer than 40 rows are learned from all of them and not calibrated; without any
 calibration example nothing with a letter is rejected. Only the text is an input of a prediction. A null identifier counts as the empty text for the fold.
-Languages beyond the ``max_languages`` most frequent ones are not learned.
+However many languages
+there are, all are learned, from one row each at least. Very long texts are taken whole. Equal probabilities go to the
+language that comes first by name; the samples are the rows with the smallest hashes of their identifiers, so they do not
+depend on the order of rows. An empty table gives no row; only the identifier, text and language are read, so no column name
+clashes.
 """
 
 from __future__ import annotations
@@ -161,7 +165,6 @@ def fit(
     max_train_docs: int = 2400,
     max_calibration_docs: int = 20_000,
     reject: float = 0.001,
-    max_languages: int = 400,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -170,7 +173,7 @@ def fit(
     """Learn from the labelled rows outside the held-out fold."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return train([], buckets)
     share, extra = (max(1, m // len(sizes)) for m in (max_train_docs, max_calibration_docs))
@@ -184,7 +187,7 @@ def fit(
 
     def run(batches):
         for batch in batches:
-            langs, ids, ns = [], [], []
+            langs, ids, ns, draws = [], [], [], []
             for lang, text, draw in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
                 if not has_letter(text):
                     continue
@@ -198,10 +201,11 @@ def fit(
                         langs.append(lang)
                         ids.append(found.astype("<u4").tobytes())
                         ns.append(n.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(ns, pa.binary())], names=["lang", "ids", "n"])
+                        draws.append(draw)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(ns, pa.binary()), pa.array(draws, pa.float64())], names=["lang", "ids", "n", "draw"])
 
     # the limit only matters where very many rows share one identifier and are all drawn
-    counted = some.mapInArrow(run, "lang string, ids binary, n binary").limit(4 * max(max_train_docs, len(sizes)))
+    counted = some.mapInArrow(run, "lang string, ids binary, n binary, draw double").orderBy("draw", "lang", "ids", "n").limit(4 * max(max_train_docs, len(sizes)))
     found = sorted((r.lang, bytes(r.ids), bytes(r.n)) for r in counted.toLocalIterator())
     model = train([(lang, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float32)) for lang, i, n in found], buckets, **options)
     if not model.languages:
@@ -211,7 +215,7 @@ def fit(
     def measured(batches):
         m = shared.value
         for batch in batches:
-            sizes, familiarities = [], []
+            sizes, familiarities, draws = [], [], []
             for text, draw in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
                 if not has_letter(text):
                     continue
@@ -224,10 +228,11 @@ def fit(
                     *_, size, familiarity = m.measure(part)
                     sizes.append(size)
                     familiarities.append(familiarity)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(familiarities, pa.float64())], names=["size", "familiarity"])
+                    draws.append(draw)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(familiarities, pa.float64()), pa.array(draws, pa.float64())], names=["size", "familiarity", "draw"])
 
     # the limit as above
-    held = others.mapInArrow(measured, "size long, familiarity double").limit(2 * (SPANS + 1) * max(max_calibration_docs, len(sizes)))
+    held = others.mapInArrow(measured, "size long, familiarity double, draw double").orderBy("draw", "size", "familiarity").limit(2 * (SPANS + 1) * max(max_calibration_docs, len(sizes)))
     pairs = np.array([(r[0], r[1]) for r in held.toLocalIterator()], np.float64).reshape(-1, 2)
     shared.destroy()
     model.calibrate(pairs[:, 0], pairs[:, 1], reject)

@@ -1,27 +1,27 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 The models are two first-order character chains with additive smoothing, trained from labelled samples: random strings
-over the usual alphabets of keys, and identifiers (names of the standard library, joined in the usual styles, with
-version-like digits) together with ordinary words drawn from the corpus. A candidate is a run of at least
-``min_length`` characters ``[A-Za-z0-9+/_=-]``; it is a secret when the mean log-likelihood ratio per character
-exceeds a threshold, which is the highest score of the ordinary samples kept out of training plus a margin.
+over the usual alphabets of keys, and identifiers (words of programs, joined in the usual styles, with version-like digits; runs of
+one character) together with ordinary words drawn from the corpus. A candidate is a run of at least ``min_length`` characters
+``[A-Za-z0-9+/_=-]``, or what is left of one beside the fixed spans; it is a secret when the mean log-likelihood ratio per
+character exceeds the threshold for its length. A mean over few characters varies more, so the thresholds are calibrated by
+length: each is the highest score among all windows of that length in the ordinary samples kept out of training, plus a margin.
 
 Fixed kinds, leftmost and not overlapping within a kind: ``assign`` (a keyword, ``:`` or ``=``, a value of 8 or more
-characters; the span is the whole match), ``access`` and ``hex``. ``random`` is the method's kind; it is added where it
-overlaps no fixed span.
+characters; the span is the whole match), ``access`` and ``hex``. ``random`` is the method's kind; it overlaps no fixed span.
 
 Scale: one pass, no shuffle. The models are a few thousand numbers, whatever the corpus.
 
-Defined results: null and empty texts have no span; repeated rows give repeated rows; spans are in code points.
+Defined results: null and empty texts have no span; repeated rows give repeated rows; spans are in code points; spans that
+begin together come in the order of the kinds; a score equal to its threshold is no secret; very long texts take time in
+proportion to their length; an empty table gives no row; only the identifier and text are read, so no column name clashes.
 """
 
 from __future__ import annotations
 
-import builtins
-import keyword
 import re
 import string
-import sys
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,21 @@ _FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.
 _HEX_RUN = bytes(0x68 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 _CANDIDATE_RUN = bytes(0x68 if chr(b) in _ALPHABET else 0x20 for b in range(256))
 
+#: Words that make up the names in programs, for the samples of ordinary identifiers.
+PROGRAM_WORDS = tuple(
+    """
+    account action active address agent alias align all append apply archive argument array async attribute audio author
+    background backup base batch begin binary block body boolean border bottom bound branch browser buffer build button byte
+    cache calendar callback cancel category center chain change channel character check child class clean client clock close
+    cluster code collect color column command comment commit common compare compile complete component config connect console
+    constant contact container content context control convert cookie copy core count country create current cursor custom
+    data date debug decode default define delete depth device dialog digest directory disable display document domain download
+    draft driver dynamic edit element email enable encode engine entry error event exact except execute exit export extension
+    factory false field file filter final first flag float flush folder font format forward frame from function gateway general
+    generate get global graph group handler hash header height helper history home host
+    """.split()
+)
+
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -58,15 +73,15 @@ def random_samples(rng: np.random.Generator, n: int) -> list[str]:
 
 
 def identifier_samples(rng: np.random.Generator, n: int) -> list[str]:
-    """Labelled samples of ordinary identifiers: names of the standard library joined in the usual styles."""
-    names = sorted({*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(F)})
-    words = sorted({w for name in names for w in re.findall(r"[A-Za-z][a-z]+|[A-Z]{2,}", name)})
+    """Labelled samples of ordinary runs: words of programs joined in the usual styles, and single characters repeated."""
     out = []
     for i in range(n):
-        parts = [words[k] for k in rng.integers(0, len(words), rng.integers(2, 6))]
-        tail = ("", "", str(rng.integers(0, 100)), f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}")[i % 4]
-        out.append({0: "_", 1: "-", 2: "/"}.get(i % 5, "").join(p.capitalize() if i % 5 == 3 else p.upper() if i % 5 == 4 and i % 2 else p.lower() for p in parts) + tail)
-    return out
+        parts = [PROGRAM_WORDS[k] for k in rng.integers(0, len(PROGRAM_WORDS), rng.integers(2, 6))]
+        tail = ("", "", str(rng.integers(0, 100)), f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}")[i // 8 % 4]
+        join, form = (("_", str), ("-", str), ("/", str), ("", str.capitalize), ("", str), ("_", str.upper), ("", str.upper), ("-", str.capitalize))[i % 8]
+        out.append(join.join(map(form, parts)) + tail)
+    # rules and fillers: runs of one character
+    return out + [c * int(k) for c in _ALPHABET for k in rng.integers(8, 41, 8)]
 
 
 def _encode(s: str) -> np.ndarray:
@@ -76,10 +91,14 @@ def _encode(s: str) -> np.ndarray:
 class MarkovRatio:
     """Log-likelihood ratio of two character chains, per character."""
 
+    #: Lengths that have a threshold of their own.
+    LENGTHS = (16, 20, 24, 32, 48)
+
     def __init__(self, random: list[str], ordinary: list[str], smoothing: float = 0.5, margin: float = 0.1):
         keep = max(1, len(ordinary) // 4)
         self.table = self._chain(random, smoothing) - self._chain(ordinary[keep:], smoothing)
-        self.threshold = max([0.0, *(self.score(s) for s in ordinary[:keep] if len(s) >= 8)]) + margin
+        whole = max([0.0, *(self.score(s) for s in ordinary[:keep] if len(s) >= 8)])
+        self.thresholds = [max([whole, *(w for s in ordinary[:keep] for w in self._windows(s, n))]) + margin for n in self.LENGTHS]
 
     @staticmethod
     def _chain(samples: list[str], smoothing: float) -> np.ndarray:
@@ -90,10 +109,21 @@ class MarkovRatio:
             np.add.at(counts, (codes[:-1], codes[1:]), 1.0)
         return np.log(counts / counts.sum(axis=1, keepdims=True))
 
+    def _windows(self, s: str, n: int) -> list[float]:
+        """Scores of all runs of ``n`` characters."""
+        if len(s) < n:
+            return []
+        codes = _encode(s)
+        upto = np.concatenate([[0.0], np.cumsum(self.table[codes[:-1], codes[1:]])])
+        return ((upto[n - 1 :] - upto[: len(upto) - n + 1]) / (n - 1)).tolist()
+
     def score(self, s: str) -> float:
         codes = _encode(s)
         return float(self.table[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
+    def is_random(self, s: str) -> bool:
+        return self.score(s) > self.thresholds[max(0, bisect_right(self.LENGTHS, len(s)) - 1)]
+
 
 def corpus_words(docs: DataFrame, n: int) -> list[str]:
     """A bounded sample of runs of ASCII letters in the corpus: ordinary by their label, since they hold no digit.
@@ -105,7 +135,8 @@ def corpus_words(docs: DataFrame, n: int) -> list[str]:
     drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < round(rate * (1 << 30))) & F.col("text").isNotNull())
     word = F.lit(r"(?<![\w+/=-])[A-Za-z][a-z]{7,40}(?![\w+/=-])")
     found = drawn.select(F.try_element_at(F.regexp_extract_all("text", word, F.lit(0)), F.lit(1)).alias("word")).where("word is not null")
-    return sorted(r.word for r in found.limit(2 * n).collect())
+    # the smallest hashes, whatever the order of rows
+    return sorted(r.word for r in found.orderBy(F.xxhash64("word"), "word").limit(2 * n).collect())
 
 
 def train(rows: DataFrame, sample_docs: int, samples: int, seed: int) -> MarkovRatio:
@@ -133,15 +164,25 @@ def scan_text(text: str | None, model: MarkovRatio, min_length: int) -> list[tup
     raw = text.encode("utf-8", "surrogatepass")
     out = base_spans(text, raw)
     if b"h" * min_length in raw.translate(_CANDIDATE_RUN):
-        taken = [(a, b) for _, a, b in out]
+        fixed = sorted((a, b) for _, a, b in out)
+        k = 0
         for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{min_length},}}", text):
-            a, b = m.span()
-            if not any(a < d and c < b for c, d in taken) and model.score(m[0]) > model.threshold:
-                out.append(("random", a, b))
+            at, end = m.span()
+            # both are in order: spans that end before a run are left behind
+            while k < len(fixed) and fixed[k][1] <= at:
+                k += 1
+            i = k
+            while at < end:
+                while i < len(fixed) and fixed[i][1] <= at:
+                    i += 1
+                stop = min(end, fixed[i][0]) if i < len(fixed) else end
+                if stop - at >= min_length and model.is_random(text[at:stop]):
+                    out.append(("random", at, stop))
+                at = max(stop, fixed[i][1]) if i < len(fixed) else end
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(docs: DataFrame, *, min_length: int = 20, sample_docs: int = 500, samples: int = 4000, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, *, min_length: int = 16, sample_docs: int = 500, samples: int = 4000, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its spans (kind, start, end), by start, then kind."""
     rows = id_text(docs, id_col, text_col)
     model = train(rows, sample_docs, samples, seed)
@@ -154,7 +195,7 @@ def scan(docs: DataFrame, *, min_length: int = 20, sample_docs: int = 500, sampl
     return rows.mapInArrow(run, SCHEMA)
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", length_col: str | None = None, min_length: int = 20, sample_docs: int = 500, samples: int = 4000, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", length_col: str | None = None, min_length: int = 16, sample_docs: int = 500, samples: int = 4000, seed: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span of ``scan`` replaced by ``mark``; overlapping spans are replaced as one."""
     model = train(id_text(docs, id_col, text_col), sample_docs, samples, seed)
 

@@ -37,10 +37,36 @@ def test_against_brute_force(spark):
     docs, items = case()
     want = {i: brute(t, items) for i, t in docs}
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for k in ({}, {"block_words": 20}):
+    for k in ({}, {"block_words": 20}, {"block_words": 20, "broadcast_hits": 0}):
         got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.decontaminate(df, bench, **k)).collect()}
         assert got == want
-    assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()} == {i for i, w in want.items() if not w[-1]}
+        assert {r.doc_id for r in decontaminate.drop_contaminated(df, bench, **k).collect()} == {i for i, w in want.items() if not w[-1]}
+
+
+def test_tables_are_built_once_a_task(spark, tmp_path, monkeypatch):
+    """With many blocks each partition has the tables of each block built once, however many batches it has."""
+    docs, items = case()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    original, log = decontaminate.searchers, str(tmp_path)
+
+    def logged(block, window):
+        import uuid
+        from pathlib import Path
+
+        from pyspark import TaskContext
+
+        Path(log, f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}").touch()
+        return original(block, window)
+
+    monkeypatch.setattr(decontaminate, "searchers", logged)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        blocks = len(decontaminate.ship(bench, 20, "item_id", "text"))
+        assert decontaminate.decontaminate(df, bench, block_words=20).count() == len(docs) and blocks >= 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(list(tmp_path.iterdir())) == 3 * blocks
 
 
 def test_edges(spark, edges, no_docs):
