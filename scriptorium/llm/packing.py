@@ -12,7 +12,8 @@ Scale: one pass over the documents without a shuffle; a task keeps ``pool`` wait
 The sequences of a task are numbered from its partition number, so they are unique over the whole table.
 
 Defined results: a null text is empty (its sequence holds the end id alone); repeated rows are packed each on their own;
-an empty table gives no row.
+a very long text is cut over as many sequences as it takes; of pieces with equal products the one that came first is taken;
+an empty table gives no row; only the identifier, text and prompt length are read, so no column name clashes.
 """
 
 from __future__ import annotations
@@ -77,6 +78,12 @@ class Piece:
     def __init__(self, doc, start: int, ids: np.ndarray, total: int, loss_from: int):
         self.doc, self.start, self.ids, self.total, self.loss_from = doc, start, ids, total, loss_from
 
+    def owned(self) -> Piece:
+        """With ids of its own, so that a short tail that waits does not keep a long document."""
+        if self.ids.base is not None:
+            self.ids = self.ids.copy()
+        return self
+
     def loss(self) -> int:
         return max(0, self.start + len(self.ids) - max(self.start, self.loss_from))
 
@@ -130,12 +137,12 @@ class Packer:
             if len(head.ids) == self.max_tokens:
                 yield from self._numbered([head])
             else:
-                self.waiting.append(head)
+                self.waiting.append(head.owned())
             if not len(tail.ids):
                 break
             piece = tail
         else:
-            self.waiting.append(piece)
+            self.waiting.append(piece.owned())
         if len(self.waiting) >= self.pool:
             yield from self.pack(self.pool // 2)
 

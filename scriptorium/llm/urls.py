@@ -9,11 +9,14 @@ allow) decides.
 Scale: the expressions of one URL stand next to each other in one partition, so the aggregate that brings them together
 again reduces map-side to one row per URL, by a row number that no two URLs share: no hot host can gather in a task. The
 rules are broadcast only below ``broadcast_rules`` rows, by their count; else they join by a shuffle that adaptive
-execution can split. Only the distinct shapes are collected; ``max_shapes`` bounds them, beyond it the expressions of
-all suffixes and prefixes are made.
+execution can split. Only the distinct shapes are collected: at most the label counts times the path lengths that the rules
+have. A URL is expanded into the shapes that fit it and no others; beyond ``inline_shapes`` shapes by lists of the lengths
+for each label count instead of one expression each.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and meets no rule; rules with a null
-part are ignored; repeated rules count once; repeated rows give repeated rows.
+part are ignored; repeated rules count once; repeated rows give repeated rows; an empty table gives no row, without rules
+the default stands; very long URLs are judged whole; ties between rules are decided as above; only the identifier and URL
+are read, so no column name clashes.
 """
 
 from __future__ import annotations
@@ -47,16 +50,25 @@ def _text(host: F.Column, path: F.Column) -> F.Column:
     return F.concat(host, F.lit("\n"), path)
 
 
-def _expressions(host: F.Column, path: F.Column, shapes: list[tuple[int, int]] | None) -> F.Column:
+def _expressions(host: F.Column, path: F.Column, shapes: list[tuple[int, int]], inline_shapes: int) -> F.Column:
     """All (host suffix, path prefix) of the shapes that fit, as texts."""
-    if shapes is not None:
-        labels = F.size(F.split(host, r"\."))
-        made = [F.when((labels >= n) & (F.length(path) >= k), _text(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n, k in shapes]
-        return F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
+    if not shapes:
+        return F.array().cast("array<string>")
     parts = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length(path)), lambda k: F.substr(path, F.lit(1), k))
-    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _text(h, p))))
+    if len(shapes) <= inline_shapes:
+        made = [F.when((F.size(parts) >= n) & (F.length(path) >= k), _text(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n, k in shapes]
+        return F.array_compact(F.array(*made))
+    by_labels: dict[int, list[str]] = {}
+    for n, k in shapes:
+        by_labels.setdefault(n, []).append(str(k))
+
+    def of(n: int, lengths: list[str]) -> F.Column:
+        # the list is a constant, made once
+        fits = F.filter(F.split(F.lit(",".join(lengths)), ",").cast("array<int>"), lambda k: k <= F.length(path))
+        suffix = F.substring_index(host, ".", -n)
+        return F.when(F.size(parts) >= n, F.transform(fits, lambda k: _text(suffix, F.substr(path, F.lit(1), k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(of(n, lengths) for n, lengths in by_labels.items()))
 
 
 def judge(
@@ -66,7 +78,7 @@ def judge(
     default: str = "allow",
     prefix_hex: int = 8,
     broadcast_rules: int = 200_000,
-    max_shapes: int = 500,
+    inline_shapes: int = 500,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -74,8 +86,8 @@ def judge(
     order = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), (F.col("action") == "block").alias("block"), F.concat("host", "path").alias("rule"), F.col("action").alias("action"))
     known = rules.where("host is not null and path is not null and action is not null")
     known = known.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action").distinct()
-    found = known.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("k")).distinct().limit(max_shapes + 1).collect()
-    shapes = sorted((r.n, r.k) for r in found) if len(found) <= max_shapes else None
+    found = known.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("k")).distinct().collect()
+    shapes = sorted((r.n, r.k) for r in found)
     by_prefix = (
         known.select(F.sha2(_text(F.col("host"), F.col("path")), 256).alias("digest"), order.alias("order"))
         .groupBy("digest")
@@ -87,7 +99,7 @@ def judge(
 
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-    spread = rows.withColumn("expression", F.explode_outer(_expressions(F.col("host"), F.col("path"), shapes))).withColumn("full", F.sha2("expression", 256)).drop("expression")
+    spread = rows.withColumn("expression", F.explode_outer(_expressions(F.col("host"), F.col("path"), shapes, inline_shapes))).withColumn("full", F.sha2("expression", 256)).drop("expression")
     spread = spread.withColumn("prefix", F.substring("full", 1, prefix_hex))
     met = spread.join(F.broadcast(by_prefix) if small else by_prefix, "prefix", "left")
     confirmed = F.try_element_at(F.filter("candidates", lambda c: c.digest == F.col("full")), F.lit(1)).getField("order")

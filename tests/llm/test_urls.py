@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
         assert judged(spark, urls.RULES, **k) == want
     short = [i for i, u in enumerate(cases()) if not u or len(u) < 1000]
     many = [*urls.RULES, *((f"h{i}.com", "/" + "x" * i, "block") for i in range(30))]
-    got = judged(spark, many, max_shapes=5)
+    got = judged(spark, many, inline_shapes=5)
     assert all(got[i] == want[i] for i in short)
 
 
