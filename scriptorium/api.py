@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from importlib.resources import files
 from urllib.parse import parse_qs, urlsplit
@@ -25,7 +26,7 @@ def _text(query: dict, name: str, most: int, default: str | None = "") -> str |
 
 def _number(query: dict, name: str, least: int, most: int, default: int) -> int:
     raw = query.get(name, [str(default)])[0]
-    if not raw.lstrip("-").isdigit() or not least <= int(raw) <= most:
+    if not re.fullmatch("[+-]?[0-9]{1,9}", raw.strip()) or not least <= int(raw) <= most:
         raise Invalid(f"{name} must be a number from {least} to {most}")
     return int(raw)
 
@@ -52,7 +53,7 @@ def respond(engine: SearchEngine, url: str) -> tuple[int, str, bytes]:
             text = _text(query, "q", 100)
             body = {"query": text, "suggestions": engine.suggest(text, _number(query, "limit", 1, 20, 8))}
         elif parts.path == "/api/categories":
-            body = [{"name": name, "papers": n} for name, n in engine.category_counts()]
+            body = {"categories": [{"name": name, "papers": n} for name, n in engine.category_counts()]}
         elif parts.path == "/api/stats":
             body = engine.stats()
         else:

@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import xml.etree.ElementTree as ElementTree
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,42 @@ def harvest_pages(base: str, selection: dict[str, str], parse: Callable[[bytes],
         sleep(pause)
 
 
+# Name spaces and address of the interface.
+OAI, ARXIV = "{http://www.openarchives.org/OAI/2.0/}", "{http://arxiv.org/OAI/arXiv/}"
+ENDPOINT = "https://oaipmh.arxiv.org/oai"
+
+
+def page_records(page: bytes) -> tuple[list[dict], str | None]:
+    """The records of one page, which is bounded, and the token for the next."""
+    root = ElementTree.fromstring(page)
+    if (error := root.find(f"{OAI}error")) is not None:
+        if error.get("code") == "noRecordsMatch":
+            return [], None
+        raise ValueError(f"the repository answered with an error: {error.get('code')}")
+    made = []
+    for paper in root.iterfind(f".//{OAI}record/{OAI}metadata/{ARXIV}arXiv"):
+        field = lambda name, at=paper: (at.findtext(ARXIV + name) or "")
+        names = (f"{field('forenames', a)} {field('keyname', a)}".strip() for a in paper.iter(f"{ARXIV}author"))
+        made.append({"id": field("id"), "title": " ".join(field("title").split()), "abstract": " ".join(field("abstract").split()), "authors": [n for n in names if n], "categories": field("categories")})
+    return made, root.findtext(f".//{OAI}resumptionToken") or None
+
+
+def harvest(out: str, set_name: str = "cs", first: str | None = None, until: str | None = None, most: int = 100_000, base: str = ENDPOINT, get: Callable[[str], bytes] = fetch, sleep: Callable[[float], None] = time.sleep, log: Callable[[str], None] = lambda _: None) -> int:
+    """Write the selected records, each id once, as JSON lines; returns how many."""
+    chosen = {"set": set_name} | ({"from": first} if first else {}) | ({"until": until} if until else {})
+    seen: set[str] = set()
+    with open(out, "w", encoding="utf-8") as file:
+        for page in harvest_pages(base, chosen, lambda p: page_records(p)[1], get, sleep=sleep):
+            for record in page_records(page)[0]:
+                if record["id"] not in seen and all(record[k] for k in ("id", "title", "abstract")) and len(seen) < most:
+                    seen.add(record["id"])
+                    file.write(to_json_line(record) + "\n")
+            log(f"{len(seen)} records harvested")
+            if len(seen) >= most:
+                break
+    return len(seen)
+
+
 def harvested(records: DataFrame, most: int | None = None) -> DataFrame:
     """Records with id, title and abstract, each id once, at most ``most``."""
     full = records.where("coalesce(id, '') <> '' and coalesce(title, '') <> '' and coalesce(abstract, '') <> ''").dropDuplicates(["id"])

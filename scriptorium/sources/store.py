@@ -37,6 +37,8 @@ def naive_search(store: DataFrame, words: list[str], limit: int = 10) -> DataFra
     return store.where(reduce(lambda a, b: a & b, map(holds, words))).select("id").orderBy("id").limit(limit)
 
 
+#: The table of a store in a database.
+TABLE = "documents"
 #: Small row groups, sorted by id: a lookup by ids reads few of them.
 ROW_GROUP = 1 << 20
 
@@ -47,15 +49,44 @@ def write_sorted(rows: DataFrame, path: str) -> None:
 
 
 class Store:
-    """A folder of Parquet files with the columns of SCHEMA."""
+    """A folder of Parquet files with the columns of SCHEMA, or a table ``documents`` of the database that a ``jdbc:`` URL names."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            spark.createDataFrame([], SCHEMA).write.parquet(path)
+        self.spark, self.path, self.in_database = spark, path, path.startswith("jdbc:")
+        if not self._exists():
+            self._append(spark.createDataFrame([], SCHEMA))
+
+    def _exists(self) -> bool:
+        if self.in_database:
+            try:
+                self.spark.read.jdbc(self.path, TABLE)
+            except Exception as e:
+                # a missing table; a database that cannot be reached fails again when the table is made
+                if "does not exist" not in str(e).lower() and "doesn't exist" not in str(e).lower() and "no such table" not in str(e).lower():
+                    raise
+                return False
+            return True
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def _append(self, rows: DataFrame) -> None:
+        if self.in_database:
+            # one transaction per task
+            rows.write.jdbc(self.path, TABLE, mode="append")
+        elif rows.isEmpty():
+            rows.write.parquet(self.path)
+        else:
+            write_sorted(rows, self.path)
+
+    @property
+    def kind(self) -> str:
+        return self.path.split(":")[1] if self.in_database else "parquet"
 
     def rows(self) -> DataFrame:
+        if self.in_database:
+            found = self.spark.read.jdbc(self.path, TABLE)
+            names = {c.lower(): c for c in found.columns}
+            return found.select(*(F.col(names[c]).cast(t).alias(c) for c, t in (f.split() for f in SCHEMA.split(", "))))
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
     def count(self) -> int:
@@ -69,7 +100,7 @@ class Store:
         n = kept.count()
         if n:
             rows = normalise(kept, "_n").withColumn("id", F.col("_n") + last + 1).select(*(f.name for f in before.schema))
-            write_sorted(rows, self.path)
+            self._append(rows)
         return n
 
     def page(self, after: int, size: int) -> DataFrame:

@@ -109,9 +109,9 @@ def test_api(spark, engine):
     status, body = get("/api/search?q=river&limit=1")
     assert status == 200 and body["total"] == 2 and len(body["results"]) == 1
     assert get("/api/suggest?q=ri")[1]["query"] == "ri"
-    assert len(get("/api/categories")[1]) == 6 and get("/api/stats")[1]["documents"] == 6
+    assert len(get("/api/categories")[1]["categories"]) == 6 and {"name": "cs.DB", "papers": 1} in get("/api/categories")[1]["categories"] and get("/api/stats")[1]["documents"] == 6
     assert b"<html" in get("/")[1] and get("/none")[0] == 404
-    for bad in ("/api/search", "/api/search?q=", "/api/search?q=x&limit=500", "/api/search?q=" + "a" * 300, "/api/search?q=x&offset=-1", "/api/suggest?q=", "/api/search?q=x&correct=maybe"):
+    for bad in ("/api/search", "/api/search?q=", "/api/search?q=x&limit=500", "/api/search?q=" + "a" * 300, "/api/search?q=x&offset=-1", "/api/suggest?q=", "/api/search?q=x&correct=maybe", "/api/search?q=x&limit=%C2%B2", "/api/search?q=x&limit=--5", "/api/search?q=x&limit=", "/api/search?q=x&offset=99999999999999"):
         assert get(bad)[0] == 422, bad
     with api.server(engine, port=0) as s:
         threading.Thread(target=s.handle_request, daemon=True).start()
@@ -125,3 +125,51 @@ def test_prepare(spark, tmp_path):
     assert bootstrap.prepare(spark, settings).stats()["documents"] == 6
     said = []
     assert bootstrap.prepare(spark, settings, said.append).search("river")["total"] == 2 and said == ["6 papers indexed"]
+
+
+def test_harvest_to_a_file(spark, tmp_path):
+    """Pages are followed to the end or to the most records, which are written once each."""
+    second = PAGE.replace("2401.1", "2401.2").replace("next-1", "")
+    answers = {"set=cs": PAGE, "resumptionToken=next-1": second}
+    urls = []
+
+    def get(url):
+        urls.append(url)
+        return next(body for part, body in answers.items() if part in url).encode()
+
+    said = []
+    out = tmp_path / "all.jsonl"
+    n = records.harvest(str(out), "cs", first="2024-01-01", get=get, sleep=lambda _: None, log=said.append)
+    rows = records.read_jsonl(spark, str(out)).collect()
+    assert n == 2 and [r.id for r in rows] == ["2401.1", "2401.2"] and len(urls) == 2 and "from=2024-01-01" in urls[0]
+    assert records.normalise(records.read_jsonl(spark, str(out))).first().authors == "Ana Brook, Stone" and said == ["1 records harvested", "2 records harvested"]
+    assert records.harvest(str(tmp_path / "one.jsonl"), "cs", most=1, get=get, sleep=lambda _: None) == 1
+    with pytest.raises(ValueError):
+        records.page_records(b'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><error code="badArgument">no</error></OAI-PMH>')
+    assert records.page_records(b'<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><error code="noRecordsMatch"/></OAI-PMH>') == ([], None)
+
+
+def test_database_store(spark, papers):
+    """The store in a database by its URL."""
+    kept = Store(spark, "jdbc:derby:memory:papers;create=true")
+    assert kept.count() == 0 and kept.add(papers) == 6 and kept.add(papers) == 0
+    again = Store(spark, "jdbc:derby:memory:papers")
+    assert again.count() == 6 and [r.arxiv_id for r in again.documents()] == [p["id"] for p in PAPERS]
+    assert {r.id for r in again.get([2, 5, 77]).collect()} == {2, 5} and [r.id for r in again.naive_search(["RIVER", "ston"]).collect()] == [3]
+
+
+def test_bench_report(spark, store, engine):
+    from scriptorium import cli
+
+    result = cli.bench(engine, store, 3, 2)
+    assert set(result) == {"documents", "terms", "postings", "build_seconds", "index_megabytes", "queries", "engine_ms", "baseline_queries", "baseline_ms", "database"}
+    lines = cli.bench_lines(result)
+    assert lines[0].startswith("6 documents") and len(lines) == 4 and result["database"] == "parquet"
+
+
+def test_evaluation_report(spark, store):
+    from scriptorium import cli
+
+    result = cli.evaluate(store.rows(), 4)
+    assert result["queries"] == 4 and result["documents"] == 6 and set(result["modes"]) == {"bm25", "tf", "match"}
+    assert "4 queries over 6 abstracts" in cli.evaluation_lines(result)[0]
