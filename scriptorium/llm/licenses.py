@@ -3,7 +3,8 @@
 Passages of a text are the whole text, its blocks between blank lines, its lines and its sentences. A passage is
 normalised (A-Z lower-cased, everything but letters and digits a space) and becomes the set of its word bigrams. With sets
 A and B the coefficient is 2 |A & B| / (|A| + |B|); it reaches t only if t / (2 - t) <= |A| / |B| <= (2 - t) / t, so only
-templates within these size bounds are candidates, and a passage without any has its bigrams never built.
+templates within these size bounds are candidates. A passage too short for any has its bigrams never built, and one with more
+words than the largest could allow is left to the windows.
 
 A licence inside a longer text, over several lines or blocks, is found by windows over the words of the whole text. A window
 begins at a bigram of the template and has t / (2 - t) to (2 - t) / t times its words; for templates of fewer than
@@ -16,7 +17,8 @@ Scale: one pass, no shuffle; the templates are a parameter and small.
 
 Defined results: null and empty texts, and passages of one word, have no bigrams and match nothing; ties go to the longer
 template, then to the first name; repeated rows give repeated rows; a passage that is one line, one block and a whole text is
-reported once.
+reported once; very long texts are scanned whole, in time that grows with their length and the templates' hits; an empty
+table gives no row; only the identifier and text are read, so no column name clashes.
 """
 
 from __future__ import annotations
@@ -44,11 +46,14 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
         "Licensed under the ISC License.",
     ),
-    "BSD": (
+    "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
-        "Licensed under the BSD 3-Clause License.",
         "Licensed under the BSD 2-Clause License.",
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "Licensed under the BSD 3-Clause License.",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Licensed under the Apache License, Version 2.0.",

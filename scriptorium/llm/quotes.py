@@ -13,7 +13,10 @@ messages share is one row; no conversation is gathered in a task, and reply orde
 pointer doubling over the links alone.
 
 Defined results: null and empty texts have no quotes and an empty own text; messages with a null conversation or turn link to
-nothing; repeated rows give repeated rows; a quote without a source leaves the message a root.
+nothing; repeated rows give repeated rows; a quote without a source leaves the message a root; of sources with as many quoted
+words the latest is the parent, and of own passages that several messages share the earliest message is the source; very
+long texts are read whole; an empty table gives no row; only the conversation, turn, role and text are read, so no column
+name clashes.
 """
 
 from __future__ import annotations

@@ -18,6 +18,13 @@ def test_accuracy_and_fold(spark):
     assert sum(r.rejected for r in got) <= 0.02 * len(got)
 
 
+def test_held_out_documents(spark):
+    """The documents of the held-out fold, which no model sees."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held)
+
+
 def test_unlearned_texts_are_rejected(spark):
     """Texts of an unlearned language and letter noise go, texts of the learned ones stay."""
     model = language.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from scriptorium.llm import quotes
 from tests.llm.conftest import prose
@@ -6,20 +7,57 @@ from tests.llm.conftest import prose
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def plain_words(text):
+    """Normalised: runs of ASCII letters, digits and other characters beyond ASCII, A-Z lower-cased."""
+    return tuple("".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text))
+
+
+def plain_parse(text):
+    """Own passages and quoted ones (level, words), read character by character."""
+    body, runs, last = [], [], 0
+    for line in (text or "").split("\n"):
+        level = at = 0
+        for i, c in enumerate(line):
+            if c == ">":
+                level, at = level + 1, i + 1
+            elif c not in " \t":
+                break
+        if not level:
+            body.append(line)
+        elif level == last:
+            runs[-1][1].append(line[at:])
+        else:
+            runs.append((level, [line[at:]]))
+        last = level
+    quoted = {(level, plain_words(x)) for level, lines in runs for x in (*lines, " ".join(lines))}
+    while body and not body[0]:
+        body.pop(0)
+    while body and not body[-1]:
+        body.pop()
+    blocks, now = [], []
+    for line in [*body, ""]:
+        if line.strip():
+            now.append(line)
+        else:
+            blocks.append(" ".join(now))
+            now = []
+    own = {plain_words(x) for x in (*body, *blocks, " ".join(body))}
+    return {o for o in own if o}, {(level, w) for level, w in quoted if w}
+
+
 def brute(rows):
     """Reply links read off the messages one by one."""
     own = {}
     for r in sorted(rows):
-        body, _, quoted, hashes = quotes.parse(r[3])
-        for h in hashes:
-            own.setdefault((r[0], h), r[1])
+        for words in plain_parse(r[3])[0]:
+            own.setdefault((r[0], words), r[1])
     out = {}
     for r in rows:
         votes = {}
-        for q in {(q["level"], q["hash"], q["words"]) for q in quotes.parse(r[3])[2]}:
-            s = own.get((r[0], q[1]))
+        for level, words in plain_parse(r[3])[1]:
+            s = own.get((r[0], words))
             if s is not None and s < r[1]:
-                votes[q[0], s] = votes.get((q[0], s), 0) + q[2]
+                votes[level, s] = votes.get((level, s), 0) + len(words)
         out[r[:2]] = max(((-k[0], v, k[1]) for k, v in votes.items()), default=(0, 0, None))[2]
     return out
 
@@ -34,7 +72,19 @@ def test_links(spark):
             if said and rng.random() < 0.7:
                 source = rng.choice(said)
                 lines = source.split("\n")
-                text = "\n".join("> " + x for x in lines[: rng.randint(1, len(lines))]) + "\n" + text
+                quoted = lines[: rng.randint(1, len(lines))]
+                kind = rng.randrange(5)
+                if kind == 0:  # part of a line, which has no source of its own
+                    quoted = [" ".join(quoted[0].split()[:-1])]
+                if kind == 1:  # wrapped anew
+                    words = " ".join(quoted).split()
+                    quoted = [" ".join(words[:4]), " ".join(words[4:])]
+                mark = ("> ", ">", " > ", ">> ")[rng.randrange(4)]
+                text = "\n".join(mark + x.upper() if kind == 2 else mark + x for x in quoted) + "\n" + text
+                if kind == 3:  # a line that names who is quoted
+                    text = f"On Monday {prose(rng, 1)} wrote:\n" + text
+                if kind == 4:
+                    text = text + "\n\n" + "> " + rng.choice(said).split("\n")[-1]
             said.append(text)
             rows.append((conv, turn, "user", text))
     got = quotes.reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -45,7 +95,7 @@ def test_links(spark):
         while want[r.conv_id, root] is not None:
             root, depth = want[r.conv_id, root], depth + 1
         assert (r.root_turn, r.depth) == (root, depth)
-        assert not any(line.startswith(">") for line in r.text.split("\n"))
+        assert not any(line.lstrip().startswith(">") for line in r.text.split("\n"))
     assert [(r.conv_id, r.root_turn, r.turn) for r in got] == sorted((r.conv_id, r.root_turn, r.turn) for r in got)
 
 
