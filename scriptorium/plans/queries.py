@@ -144,9 +144,15 @@ def engine_stats(spark, sf_dir):
 
 
 def _scores(spark, sf_dir, mode="bm25", terms=TERMS):
-    docs = ix.analysed(corpus(spark, sf_dir))
-    posted = ix.postings(docs, only=terms)
-    return ranking.scores(posted, ix.term_stats(posted, ix.collection(docs)), ix.doc_stats(docs), terms, mode)
+    """Scores on the raw table: one analysis, of which only lengths and the query's terms are kept."""
+    docs, path = ix.analysed(corpus(spark, sf_dir)), scratch_path(spark, "matched")
+    among = lambda c: F.filter(c, lambda t: t.isin(*terms)).alias(c)
+    docs.select("id", "category", "doc_len", among("title_terms"), among("abstract_terms")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    coll = ix.collection(docs)
+    posted = ix.postings(docs, carry=("category", "doc_len"))
+    normed = posted.crossJoin(F.broadcast(coll)).withColumn("norm", ix.norm(F.col("doc_len"), F.col("avg_len")))
+    return ranking.stored_scores(normed, ix.term_stats(posted, coll), terms, mode)
 
 
 def _rounded(df):
