@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,64 @@ def correct(keys: DataFrame, queries: DataFrame, max_distance: int | None = None
     found = fuzzy(keys, unknown, 2, own) if max_distance is None else fuzzy(keys, unknown, max_distance)
     best = found.groupBy("word").agg(F.min_by("key", F.struct("distance", -F.col("weight"), "key")).alias("correction"))
     return words.join(best, "word", "left")
+
+
+class HeldKeys:
+    """Keys of a checked number on the driver (key, weight), for the few words of one request.
+
+    The same results as ``correct``: a word is compared with all keys of nearly its length at once.
+    """
+
+    def __init__(self, table: pa.Table):
+        self.keys = table["key"].combine_chunks()
+        self.weights = table["weight"].to_numpy()
+        self.lengths = pc.utf8_length(self.keys).to_numpy(zero_copy_only=False)
+        self.names = set(self.keys.to_pylist())
+        self._letters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of_length(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys of ``n`` letters, and their letters by place in the key."""
+        if n not in self._letters:
+            at = np.flatnonzero(self.lengths == n)
+            letters = np.array(self.keys.take(pa.array(at)).to_pylist(), f"U{n}").view(np.uint32).reshape(len(at), n)
+            self._letters[n] = at, np.ascontiguousarray(letters.T)
+        return self._letters[n]
+
+    def nearest(self, word: str, distance: int) -> tuple[str, int] | None:
+        """The key of the fewest edits, at most ``distance``, then the heaviest, then the first; with its weight."""
+        best = None
+        for n in range(max(1, len(word) - distance), len(word) + distance + 1):
+            at, letters = self._of_length(n)
+            edits = _edits(word, letters)
+            for i in np.flatnonzero(edits <= distance).tolist():
+                found = (int(edits[i]), -int(self.weights[at[i]]), self.keys[int(at[i])].as_py())
+                best = found if best is None else min(best, found)
+        return best and (best[2], -best[1])
+
+    def correct(self, word: str, df: int, rare_word_factor: int) -> str | None:
+        """The replacement of a word that ``df`` documents hold, or null: keep it."""
+        if len(word) < 3 or word in self.names:
+            return None
+        if df == 0:
+            found = self.nearest(word, 1 if len(word) <= 4 else 2)
+            return found and found[0]
+        found = self.nearest(word, 1)
+        return found[0] if found and found[1] >= rare_word_factor * df else None
+
+
+def _edits(word: str, letters: np.ndarray) -> np.ndarray:
+    """Inserts, deletes, replacements and swaps of neighbours between the word and each column of ``letters``."""
+    n, many = letters.shape
+    codes = [ord(c) for c in word]
+    last = np.repeat(np.arange(n + 1, dtype=np.int32)[:, None], many, axis=1)
+    before = last
+    for i, code in enumerate(codes):
+        row = np.full_like(last, i + 1)
+        for j in range(n):
+            cell = np.minimum(last[j] + (letters[j] != code), np.minimum(last[j + 1], row[j]) + 1)
+            if i and j:
+                swapped = (letters[j - 1] == code) & (letters[j] == codes[i - 1])
+                cell = np.where(swapped, np.minimum(cell, before[j - 1] + 1), cell)
+            row[j + 1] = cell
+        before, last = last, row
+    return last[n]

@@ -22,6 +22,8 @@ VERSION = 2
 TABLES = ("postings", "term_stats", "doc_stats", "vocabulary", "phrases", "collection", "parts")
 #: At most so many postings are scored on the driver (40 MB).
 DRIVER_ROWS = 1_000_000
+#: A stored vocabulary of at most so many keys (100 MB) is read to the driver once, to correct the words of requests there.
+HELD_KEYS = 1_000_000
 #: Row groups of tables that are read by key, so that a key is found without reading its whole file.
 ROW_GROUP = 4 << 20
 
@@ -79,6 +81,7 @@ class SearchEngine:
         self.build_seconds, self.rare_word_factor = build_seconds, rare_word_factor
         self._stats: dict | None = None
         self._coll = None
+        self._held: lexicon.HeldKeys | bool | None = None
         #: The parts of the stored postings with their first and last term: one row a part.
         self._parts = [tuple(r) for r in tables["parts"].select("part", "first", "last").collect()] if "parts" in tables else None
 
@@ -211,32 +214,46 @@ class SearchEngine:
     def _known(self, words: list[str]) -> DataFrame:
         return self.tables["vocabulary"].where(f"key IN ({_listed(words)})")
 
+    def _held_keys(self) -> lexicon.HeldKeys | None:
+        """The stored vocabulary on the driver, if its count allows it."""
+        if self._held is None:
+            keys = self.tables["vocabulary"]
+            few = self._parts is not None and keys.count() <= HELD_KEYS
+            self._held = lexicon.HeldKeys(keys.select("key", "weight").toArrow()) if few else False
+        return self._held or None
+
     def _collection(self):
         if self._coll is None:
             self._coll = self.tables["collection"].first()
         return self._coll
 
-    def _answer(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str]]:
-        """The number of matches, the page (id, score), and which of the words the vocabulary holds, all by one query.
+    def _answer(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str], dict[str, int] | None]:
+        """The number of matches, the page (id, score), which of the words the vocabulary holds, all by one query, and how many documents hold each term.
+
+        The last is null where the executors score. Words that the driver holds are not asked for.
 
         A term has at most one posting per document. Where that bounds the postings by ``DRIVER_ROWS``, they are scored on
         the driver, else by the executors.
         """
+        held = self._held_keys() if words else None
+        asked = () if held else words
+        here = held.names.intersection(words) if held else set()
         if self._collection().num_docs * len(terms) <= DRIVER_ROWS:
-            return self._answer_here(terms, category, limit, offset, words)
+            total, page, known, frequencies = self._answer_here(terms, category, limit, offset, asked)
+            return total, page, known | here, frequencies
         scored = self.scores(terms)
         none = lambda kind: F.lit(None).cast(kind)
         rows = ranking.rank(scored, category, limit, offset).select("id", "score", none("string").alias("word"))
         rows = rows.unionAll(ranking.total(scored, category).select(F.col("total").alias("id"), none("double"), none("string")))
-        if words:
-            rows = rows.unionAll(self._known(words).select(none("long"), none("double"), "key"))
+        if asked:
+            rows = rows.unionAll(self._known(asked).select(none("long"), none("double"), "key"))
         found = rows.collect()
         page = sorted(((r.id, r.score) for r in found if r.score is not None), key=lambda x: (-x[1], x[0]))
-        return next(r.id for r in found if r.score is None and r.word is None), page, {r.word for r in found if r.word is not None}
+        return next(r.id for r in found if r.score is None and r.word is None), page, {r.word for r in found if r.word is not None} | here, None
 
-    def _answer_here(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str]]:
+    def _answer_here(self, terms: list[str], category: str | None, limit: int, offset: int, words: list[str] = ()) -> tuple[int, list[tuple[int, float]], set[str], dict[str, int]]:
         # few calls with SQL texts, since each call of the column functions costs as much as a task
-        rows = self._postings(terms).select("term", "id", "tf", "norm", "category")
+        rows = self._postings(terms).selectExpr("term", "id", "tf", "norm", "category")
         if words:
             rows = rows.unionAll(self._known(words).selectExpr("key", *(f"CAST(NULL AS {kind})" for kind in ("long", "long", "double", "string"))))
         found = rows.toArrow()
@@ -245,10 +262,10 @@ class SearchEngine:
         names = held["term"].to_numpy(zero_copy_only=False).astype(str)
         ids, tf, norm = (held[c].to_numpy().astype(kind) for c, kind in (("id", np.int64), ("tf", np.float64), ("norm", np.float64)))
         n = self._collection().num_docs
-        idf = np.zeros(len(ids))
+        idf, frequencies = np.zeros(len(ids)), {}
         for t in terms:
             at = names == t
-            df = int(at.sum())
+            df = frequencies[t] = int(at.sum())
             idf[at] = math.log(1.0 + (n - df + 0.5) / (df + 0.5))
         units = np.floor(idf * (ix.K1 + 1) * tf / (tf + norm) / ranking.UNIT + 0.5).astype(np.int64)
         wanted = held["category"].to_numpy(zero_copy_only=False) == category if category else np.ones(len(ids), bool)
@@ -257,13 +274,22 @@ class SearchEngine:
         np.add.at(summed, at, units[wanted])
         scores = np.round(summed * ranking.UNIT, ranking.DIGITS)
         best = np.lexsort((some, -scores))[offset : offset + limit]
-        return len(some), [(int(some[i]), float(scores[i])) for i in best], known
+        return len(some), [(int(some[i]), float(scores[i])) for i in best], known, frequencies
+
+    def _frequencies(self, words: list[str]) -> dict[str, int]:
+        """How many documents hold each word's stem."""
+        return {r.term: r.df for r in self.tables["term_stats"].where(f"term IN ({_listed(list(map(T.plain_stem, words)))})").select("term", "df").collect()}
 
-    def _fixes(self, content: list[str], known: set[str]) -> dict[str, str]:
+    def _fixes(self, content: list[str], known: set[str], frequencies: dict[str, int] | None = None) -> dict[str, str]:
         """Replacements of content words. The vocabulary is only searched for words that it does not hold."""
         doubtful = sorted({w for w in content if w not in known and len(w) > 2})
         if not doubtful:
             return {}
+        if held := self._held_keys():
+            if frequencies is None:
+                frequencies = self._frequencies(doubtful)
+            made = {w: held.correct(w, frequencies.get(T.plain_stem(w), 0), self.rare_word_factor) for w in doubtful}
+            return {w: r for w, r in made.items() if r is not None}
         asked = self.spark.createDataFrame([(w,) for w in doubtful], "word string")
         return {r.word: r.replacement for r in query.correct_words(asked, self.tables["term_stats"], self.tables["vocabulary"], self.rare_word_factor).collect()}
 
@@ -271,7 +297,10 @@ class SearchEngine:
         """The content words, corrected, and the corrected text if it changed."""
         words = T.plain_words(text)
         content = [w for w in words if T.plain_content_word(w)]
-        fixes = self._fixes(content, {r.key for r in self._known(content).collect()}) if correct and content else {}
+        fixes = {}
+        if correct and content:
+            held = self._held_keys()
+            fixes = self._fixes(content, held.names.intersection(content) if held else {r.key for r in self._known(content).collect()})
         return [fixes.get(w, w) for w in content], " ".join(fixes.get(w, w) for w in words) if fixes else None
 
     def rank(self, terms: list[str], category: str | None = None, limit: int = 10, offset: int = 0) -> tuple[int, list[tuple[int, float]]]:
@@ -284,17 +313,17 @@ class SearchEngine:
         stems = lambda ws: list(dict.fromkeys(map(T.plain_stem, ws)))
         if not content:
             return None, [], 0, []
-        total, page, known = self._answer(stems(content), category, limit, offset, content if correct else ())
-        fixes = self._fixes(content, known) if correct else {}
+        total, page, known, frequencies = self._answer(stems(content), category, limit, offset, content if correct else ())
+        fixes = self._fixes(content, known, frequencies) if correct else {}
         if not fixes:
             return None, stems(content), total, page
         terms = stems(fixes.get(w, w) for w in content)
-        total, page, _ = self._answer(terms, category, limit, offset)
+        total, page, *_ = self._answer(terms, category, limit, offset)
         return " ".join(fixes.get(w, w) for w in words), terms, total, page
 
     def result_rows(self, page: list[tuple[int, float]], terms: list[str]) -> list[dict]:
         """The page's documents in order, their titles and snippets marked on the driver: at most one page of rows."""
-        rows = self.store.where(f"id IN ({', '.join(str(i) for i, _ in page)})").select("id", "arxiv_id", "title", "abstract", "authors", "primary_category", "published").collect() if page else []
+        rows = self.store.where(f"id IN ({', '.join(str(i) for i, _ in page)})").selectExpr("id", "arxiv_id", "title", "abstract", "authors", "primary_category", "published").collect() if page else []
         found = {r.id: r for r in rows}
         made = []
         for i, score in page:

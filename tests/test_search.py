@@ -84,7 +84,7 @@ def test_correction(spark, store, engine):
     assert (content, corrected) == (["graph", "rivers"], None)
 
 
-def test_rare_typo(spark, store):
+def test_rare_typo(spark, store, tmp_path):
     row = store.rows().where("id = 1").withColumns({"id": F.lit(99).cast("long"), "arxiv_id": F.lit("x"), "title": F.lit("A rivar study"), "abstract": F.lit("Nothing else.")})
     more = store.rows().unionByName(row)
     again = row.withColumns({"id": F.lit(100).cast("long"), "title": F.lit("rivers rivers"), "abstract": F.lit("river")})
@@ -93,6 +93,13 @@ def test_rare_typo(spark, store):
     assert e.correct_query("rivar")[1] == "river"
     e.rare_word_factor = 100
     assert e.correct_query("rivar")[1] is None
+    # the stored index, whose vocabulary the driver holds, corrects as the executors do
+    stored = e.save(str(tmp_path / "index"))
+    for factor in (2, 100):
+        e.rare_word_factor = stored.rare_word_factor = factor
+        for text in ("rivar", "the atention of modls", "rivar atention qqqqqq", "graph rivers", "of"):
+            assert stored.correct_query(text) == e.correct_query(text)
+            assert stored.search(text)["corrected_query"] == e.correct_query(text)[1]
 
 
 def test_facts_and_reload(spark, store, engine, tmp_path):
@@ -118,7 +125,7 @@ def test_driver_and_executors_score_alike(spark, engine, monkeypatch):
     asked = [(["river", "attention", "model"], None, 2, 1), (["river"], "cs.RO", 10, 0), (["zzz"], None, 10, 0)]
     here = [engine._answer(*a, ["river", "zzz"]) for a in asked]
     monkeypatch.setattr(module, "DRIVER_ROWS", 0)
-    for (total, page, known), a in zip(here, asked, strict=True):
+    for (total, page, known, _), a in zip(here, asked, strict=True):
         there = engine._answer(*a, ["river", "zzz"])
         assert (total, known, [i for i, _ in page]) == (there[0], there[2], [i for i, _ in there[1]])
         assert [s for _, s in page] == pytest.approx([s for _, s in there[1]], abs=1e-9)
@@ -180,6 +187,22 @@ def test_correct(spark):
     assert {r.word: r.correction for r in lexicon.correct(keys, asked).collect()} == {"modle": "model", "modol": "model", "tre": "tree", "model": None, "qqqqqq": None, "ac": None}
 
 
+def test_held_keys(spark):
+    """Keys on the driver correct words as the executors do, ties and weights included."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))
+    entries = {word(): rng.randint(1, 3) for _ in range(150)}
+    asked = sorted({word() for _ in range(60)} | {"zzzzzzzzzz", "a" * 300})
+    keys = lexicon.weighted(spark, list(entries.items()))
+    held = lexicon.HeldKeys(keys.toArrow())
+    queries = spark.createDataFrame([(w,) for w in asked], "word string")
+    assert {w: held.correct(w, 0, 100) for w in asked} == {r.word: r.correction for r in lexicon.correct(keys, queries).collect()}
+    for w in asked:
+        near = sorted((osa(w, k), -n, k) for k, n in entries.items() if osa(w, k) <= 2)
+        assert held.nearest(w, 2) == ((near[0][2], -near[0][1]) if near else None)
+    assert lexicon.HeldKeys(keys.limit(0).toArrow()).correct("river", 0, 100) is None
+
+
 def test_suggest(spark):
     words = lexicon.weighted(spark, [("river", 9), ("rivers", 8), ("robot", 7)])
     phrases = lexicon.weighted(spark, [("river delta", 4), ("river delta model", 3), ("deep river", 6)])
