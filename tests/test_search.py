@@ -95,11 +95,12 @@ def test_rare_typo(spark, store, tmp_path):
     assert e.correct_query("rivar")[1] is None
     # the stored index, whose vocabulary the driver holds, corrects as the executors do
     stored = e.save(str(tmp_path / "index"))
-    for factor in (2, 100):
-        e.rare_word_factor = stored.rare_word_factor = factor
-        for text in ("rivar", "the atention of modls", "rivar atention qqqqqq", "graph rivers", "of"):
-            assert stored.correct_query(text) == e.correct_query(text)
-            assert stored.search(text)["corrected_query"] == e.correct_query(text)[1]
+    expected = {"rivar": (None, "river"), "the atention of modls": ("the attention of models",) * 2, "rivar atention qqqqqq": ("rivar attention qqqqqq", "river attention qqqqqq"), "graph rivers": (None, None), "of": (None, None)}
+    for text, fixed in expected.items():
+        for stored.rare_word_factor, wanted in zip((100, 2), fixed, strict=True):
+            assert stored.correct_query(text)[1] == stored.search(text)["corrected_query"] == wanted
+    e.rare_word_factor = 2
+    assert e.correct_query("rivar atention qqqqqq") == stored.correct_query("rivar atention qqqqqq")
 
 
 def test_facts_and_reload(spark, store, engine, tmp_path):
