@@ -17,7 +17,10 @@ strata); all others form one stratum together, whose guarantee holds for their m
 
 Scale: one pass over the texts gives a narrow table of counts (written once to the shared folder, since the design, the
 certification and the verdicts read it); labels join that narrow table; good and bad labels are summed by stratum and step
-map-side and certified on the executors. The driver sees at most ``max_design`` labelled rows of the design and one number
+map-side and certified on the executors. The design reads every labelled document of its fold, none is left out: a document
+is to it only how many cutoffs each signal exceeds, so equal ones are counted together. Up to ``max_design`` such counts,
+proven by their number, are designed from on the driver; beyond that the executors sum them anew for each step of the path, of
+which there are at most signals times cutoffs, and the driver sees at most 240 sums a step. Besides these it sees one number
 for each stratum with labels enough to stand alone. The strata's steps are broadcast below ``broadcast_strata`` rows, by
 their count, else joined by a shuffle that adaptive execution can split.
 
@@ -32,7 +35,10 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
+from functools import reduce
 from itertools import count
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -123,28 +129,63 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def design(levels: np.ndarray, good: np.ndarray) -> list[tuple[int, int]]:
-    """The path as (signal, grid step), from labelled documents. levels: how many cutoffs of the grid each signal exceeds.
+def design(tally: Callable[[list[int]], np.ndarray]) -> list[tuple[int, int]]:
+    """The path as (signal, grid step), from labelled documents.
 
-    A document exceeds the cutoffs from grid step ``len(GRID) - level`` on. Each step of the path lowers one signal's cutoff
-    as far as the next bad document; the one with the largest gain comes first, and a loss ends the path.
+    A document's level in a signal is how many cutoffs of the grid it exceeds: those from grid step ``len(GRID) - level`` on.
+    ``tally`` takes a limit for each signal and counts the documents whose levels are all below: [signal, level, good].
+    Each step of the path lowers one signal's cutoff as far as the next bad document; the one with the largest gain comes
+    first, and a loss ends the path.
     """
     path: list[tuple[int, int]] = []
-    left = np.ones(len(good), bool)
-    n_good, n_bad = max(1, int(good.sum())), max(1, int((~good).sum()))
+    limits = [len(GRID) + 1] * len(SIGNALS)
+    left = tally(limits)
+    n_bad, n_good = (max(1, int(n)) for n in left[0].sum(axis=0))
     while True:
         best = None
-        for k in range(levels.shape[1]):
-            reach = levels[left & ~good, k].max(initial=0)
+        for k in range(len(SIGNALS)):
+            reach = int(np.flatnonzero(left[k, :, 0]).max(initial=0))
             if reach:
-                hit = left & (levels[:, k] >= reach)
-                gain = (hit & ~good).sum() / n_bad - 5 * (hit & good).sum() / n_good
+                bad, good = left[k, reach:].sum(axis=0)
+                gain = bad / n_bad - 5 * good / n_good
                 if best is None or gain > best[0]:
-                    best = (gain, k, int(reach), hit)
+                    best = (gain, k, reach)
         if best is None or best[0] <= 0:
             return path
-        path.append((best[1], len(GRID) - best[2]))
-        left &= ~best[3]
+        _, k, limits[k] = best
+        path.append((k, len(GRID) - limits[k]))
+        left = tally(limits)
+
+
+def empty_tally() -> np.ndarray:
+    return np.zeros((len(SIGNALS), len(GRID) + 1, 2), np.int64)
+
+
+def tally_here(rows: list) -> Callable[[list[int]], np.ndarray]:
+    """For ``design``, of counts that the driver holds. rows: the levels, good, n."""
+    table = np.array(rows, np.int64).reshape(-1, len(SIGNALS) + 2)
+
+    def tally(limits: list[int]) -> np.ndarray:
+        left, out = table[(table[:, : len(SIGNALS)] < limits).all(axis=1)], empty_tally()
+        for k in range(len(SIGNALS)):
+            np.add.at(out[k], (left[:, k], left[:, -2]), left[:, -1])
+        return out
+
+    return tally
+
+
+def tally_there(cells: DataFrame) -> Callable[[list[int]], np.ndarray]:
+    """The same, summed by the executors."""
+
+    def tally(limits: list[int]) -> np.ndarray:
+        below = [F.col(name) < limit for name, limit in zip(SIGNALS, limits, strict=True)]
+        left = cells.where(reduce(and_, below)).select("good", "n", F.posexplode(F.array(*SIGNALS)).alias("signal", "level"))
+        out = empty_tally()
+        for r in left.groupBy("signal", "level", "good").agg(F.sum("n").alias("n")).collect():
+            out[r.signal, r.level, r.good] = r.n
+        return out
+
+    return tally
 
 
 def needed(alpha: float, delta: float) -> int:
@@ -214,12 +255,14 @@ def certified(held: DataFrame, path: list[tuple[int, int]], alpha: float, delta:
     return named.join(done, same).select(F.col("s").alias("stratum"), named["alone"], "n_good", "steps")
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, *, alpha: float, delta: float, max_design: int, good: F.Column, id_col: str = "doc_id") -> tuple[list[tuple[int, int]], DataFrame]:
+def thresholds(measured: DataFrame, labels: DataFrame, scratch: Scratch, *, alpha: float, delta: float, max_design: int, good: F.Column, id_col: str = "doc_id") -> tuple[list[tuple[int, int]], DataFrame]:
     """The path, and per stratum how many of its steps are certified."""
     held = labelled(measured, labels, good, id_col)
     exceeded = [sum((s > g).cast("int") for g in GRID).alias(name) for name, s in signals().items()]
-    rows = held.where(F.pmod("hash", F.lit(DESIGN_FOLDS)) == 0).orderBy("hash", "doc_id").limit(max_design).select("good", *exceeded).collect()
-    path = design(np.array([r[1:] for r in rows], np.int64).reshape(-1, len(SIGNALS)), np.array([r[0] == 1 for r in rows], bool))
+    designing = held.where(F.pmod("hash", F.lit(DESIGN_FOLDS)) == 0).select("good", *exceeded)
+    cells = scratch.keep(designing.groupBy(*SIGNALS, "good").agg(F.count("*").alias("n")))
+    few = cells.count() <= max_design
+    path = design(tally_here(cells.collect()) if few else tally_there(cells))
     return path, certified(held, path, alpha, delta)
 
 
@@ -241,7 +284,7 @@ def apply_rules(
     scratch = Scratch(docs.sparkSession, "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = scratch.keep(counts(docs, stratum_col=stratum_col, id_col=id_col, text_col=text_col).withColumn("base_failed", failed))
-    path, found = thresholds(measured, labels, alpha=alpha, delta=delta, max_design=max_design, good=F.col(label_col) > 0, id_col=id_col)
+    path, found = thresholds(measured, labels, scratch, alpha=alpha, delta=delta, max_design=max_design, good=F.col(label_col) > 0, id_col=id_col)
     found = scratch.keep(found)
     cuts = found.where("steps > 0").select(F.col("stratum").alias("s"), "steps")
     few = cuts.count() <= broadcast_strata

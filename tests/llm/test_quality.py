@@ -157,3 +157,40 @@ def test_edges(spark, edges, no_docs):
     assert len(got) == 12 and all(tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(t) for r in got for t in [next(x.text for x in edges.collect() if x.doc_id == r.doc_id and brute(x.text)[0] == r.n_words)])
     assert quality.apply_rules(no_docs, labels).collect() == []
     assert {r.kept for r in quality.apply_rules(edges, labels.where("false")).collect()} == {True, False}
+
+
+def test_path_from_every_label(spark):
+    """The path comes from all labels of the design, however few rows the driver may hold: rare bad documents count too."""
+    rng = random.Random(13)
+    docs, labels = [], {}
+    for i in range(2000):
+        text = prose(rng, 60)
+        kind = "symbols" if i % 10 == 0 else "capitals" if i % 50 == 7 else "marks" if i % 50 == 9 else None
+        words = text.split()
+        if kind:
+            words[:30] = [{"symbols": w + "%%%", "capitals": w.upper(), "marks": w + "!"}[kind] for w in words[:30]]
+        docs.append((i, " ".join(words), "en"))
+        labels[i] = int(kind is None)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    given_labels = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    folds = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.DESIGN_FOLDS)) == 0).collect()}
+    want = brute_verdicts(docs, labels, 0.02, 0.05, folds, quality.GRID)
+    assert {i for i, (_, kept) in want.items() if not kept} == {i for i in labels if not labels[i]}
+    for most in (20, 0, 20_000):  # more documents than the driver may hold, but few different ones; summed by the executors; all on the driver
+        got = quality.apply_rules(df, given_labels, max_design=most).collect()
+        assert {r.doc_id: (r.base_failed, r.kept) for r in got} == want, most
+
+
+def test_design_here_and_there(spark):
+    """The driver and the executors count the same, for every limit, and design the same path."""
+    rng = np.random.default_rng(14)
+    rows = [(*map(int, rng.integers(0, len(quality.GRID) + 1, 5) * (rng.random(5) < 0.3)), int(rng.random() < 0.8), int(rng.integers(1, 9))) for _ in range(300)]
+    here, there = quality.tally_here(rows), quality.tally_there(spark.createDataFrame(rows, ", ".join(f"{c} int" for c in (*quality.SIGNALS, "good")) + ", n long"))
+    for limits in ([len(quality.GRID) + 1] * 5, [3, 20, 9, 1, 24], [0] * 5):
+        assert (here(limits) == there(limits)).all()
+    assert here([len(quality.GRID) + 1] * 5).sum() == 5 * sum(r[-1] for r in rows)
+    assert quality.design(here) == quality.design(there)
+    assert quality.design(quality.tally_here([])) == []
+    # one bad document that no good one resembles adds a step, among however many
+    path = quality.design(quality.tally_here([(0, 0, 0, 0, 0, 1, 10**9), (5, 0, 0, 0, 0, 0, 10**6), (0, 0, 0, 0, 2, 0, 1)]))
+    assert path == [(0, len(quality.GRID) - 5), (4, len(quality.GRID) - 2)]
