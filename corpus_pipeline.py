@@ -30,17 +30,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest identifier of a group stays. Rows that share an identifier are one document and stay or go together; of
     rows equal in identifier and text the one whose columns come first as JSON stays. Documents without an identifier
     cannot be named, so they stay; so do null and empty texts, which are like no other. Texts are compared whole. An empty
-    table stays empty. Names of added columns are chosen beside those of the documents.
+    table stays empty. Names of added columns are chosen beside those of the documents. Only identifiers that go or that
+    several rows share are looked up, by a broadcast while they are few, so that the texts stay where they are read.
     """
-    times, row = fresh_name(docs, "times"), fresh_name(docs, "row")
-    found = near_dedup.near_dedup(docs).where("kept and doc_id is not null")
-    kept = found.groupBy(F.col("doc_id").alias(row)).agg(F.count("*").alias(times))
-    named = docs.join(kept, F.col("doc_id") == F.col(row)).drop(row)
-    columns = [F.col(quoted(c)) for c in docs.columns]
-    once = named.where(F.col(times) == 1).select(*columns)
-    whole = F.struct(*columns)
-    one = named.where(F.col(times) > 1).groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(F.col(row).alias("row")).select("row.*")
-    return once.unionAll(one).unionAll(docs.where("doc_id is null"))
+    row, stays = fresh_name(docs, "row"), fresh_name(docs, "stays")
+    found = near_dedup.near_dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    told = Scratch(spark, "deduplicate").keep(found.where("not kept or times > 1").select(F.col("doc_id").alias(row), F.col("kept").alias(stays)))
+    few = told.count() <= near_dedup.BROADCAST_IDS
+    named, same = docs.where("doc_id is not null"), F.col("doc_id") == F.col(row)
+    chosen = lambda ids, how: named.join(F.broadcast(ids) if few else ids, same, how)
+    whole = F.struct(*(F.col(quoted(c)) for c in docs.columns))
+    again = chosen(told.where(stays), "left_semi")
+    one = again.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(F.col(row).alias("row")).select("row.*")
+    return chosen(told, "left_anti").unionAll(one).unionAll(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import LOWER_BYTES, Scratch, id_text, texts
+from ._shared import LOWER_BYTES, Scratch, id_text, slices, texts
 
 #: At most so many identifiers (16 MB) are broadcast to select the texts of which sets are needed; beyond it they join by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -122,7 +122,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
 def _signed(docs: DataFrame, words: int, minhash: MinHash) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, signatures = [], [], []
             for text in texts(batch):
                 s = shingle_set(text, words, hashes)
@@ -142,7 +142,7 @@ def _banded(nodes: DataFrame, minhash: MinHash) -> DataFrame:
     """node and key of each of its bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = minhash.keys(_signatures(batch.column(1), minhash.n))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), minhash.bands)), pa.array(keys.reshape(-1))], names=["node", "key"])
 
@@ -157,7 +157,7 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         hashes, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sets = [], []
             for node, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
                 if (s := shingle_set(text, words, hashes)).size and (node, key := hash(s.tobytes())) not in seen:
@@ -197,9 +197,7 @@ def _scored(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float, n
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"s{name}"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             a, b, sa, sb = batch.columns
             x, y = _signatures(sa, n), _signatures(sb, n)
             alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)

@@ -106,6 +106,17 @@ def test_nothing_is_left_but_two_tables(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "near-dedup").iterdir())) == 2 and got.count() == 30
 
 
+def test_small_batches():
+    """Workers take, and give back, few rows at a time: all of them, in order."""
+    import pyarrow as pa
+
+    from scriptorium.llm import _shared
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 3000), (3000, 3000), (3000, 3001))]
+    got = list(_shared.slices(batches))
+    assert max(b.num_rows for b in got) == _shared.SLICE and [x for b in got for x in b.column(0).to_pylist()] == list(range(3001))
+
+
 def test_components(spark):
     rng = random.Random(22)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]

@@ -75,6 +75,33 @@ def test_rows_that_share_an_identifier(spark):
     assert sorted((str(r.doc_id), r.text, str(r.source)) for r in got) == sorted([("1", a, "x"), ("1", b, "None"), ("None", a, "z"), ("None", a, "z")])
 
 
+def test_repeated_rows_beside_a_kept_text(spark):
+    """An identifier's rows stay if one of its texts is kept, and repeated ones are one, whichever text that is."""
+    a, c = "one two three four five six seven", "up down left right in out over"
+    docs = spark.createDataFrame([(1, a), (3, a), (3, a), (3, c)], "doc_id long, text string")
+    got = corpus_pipeline.deduplicate(spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (3, a), (3, c)])
+
+
+def test_texts_are_not_shuffled_to_drop_duplicates(spark, monkeypatch):
+    """While identifiers that go are few, they are broadcast; beyond that a join by a shuffle gives the same rows."""
+    from scriptorium.llm import near_dedup
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{DATA}/documents.parquet")
+        few = corpus_pipeline.deduplicate(spark, docs, DATA)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+        many = corpus_pipeline.deduplicate(spark, docs, DATA)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "packing"]
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in corpus_pipeline.STAGES)
