@@ -42,10 +42,23 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Stored bytes that one partition of a dealt scan should hold: what a task keeps of them grows with these, not with the table.
+PART_BYTES = 8 << 20
+
+
+def stored_bytes(rows: DataFrame) -> int:
+    """The bytes of the files that a plan reads, 0 where they are not known (a database)."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """A scan of fewer splits than keep the cores busy, dealt over them by key; a large scan stays as it is.
+    """A scan dealt over the cores by key, in parts of bounded size; one of enough and small splits stays as it is.
 
-    Rows of one key stand in one partition afterwards, so that aggregates by the key and more need no other shuffle.
+    Rows of one key stand in one partition afterwards, so that aggregates by the key and more need no other shuffle. Such an
+    aggregate keeps all groups of a partition, so the number of partitions grows with the table.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < 2 * cores else rows
+    cores, splits = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    parts = max(cores, -(-stored_bytes(rows) // PART_BYTES))
+    return rows.repartition(parts, key) if splits < max(2 * cores, parts) else rows
