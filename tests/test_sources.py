@@ -173,3 +173,27 @@ def test_evaluation_report(spark, store):
     result = cli.evaluate(store.rows(), 4)
     assert result["queries"] == 4 and result["documents"] == 6 and set(result["modes"]) == {"bm25", "tf", "match"}
     assert "4 queries over 6 abstracts" in cli.evaluation_lines(result)[0]
+
+
+def test_known_item_scores_the_rest_only_for_open_queries(spark, monkeypatch):
+    """Queries that the first documents show to be misses are not scored on the others, with the results of scoring all."""
+    import duckdb
+
+    from scriptorium.plans import oracles, queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{data}/documents.parquet'")
+    want = sorted(con.sql(oracles.ORACLE_SQL["known_item_eval"]).fetchall())
+    for first in (10, 60, 1000):
+        monkeypatch.setattr(evaluation, "FIRST_DOCS", first)
+        assert sorted(map(tuple, queries.known_item_eval(spark, data).collect())) == want
+
+
+def test_known_item_edges(spark):
+    """Null and empty texts, titles without terms in any abstract, and no documents at all."""
+    rows = [(1, "Rivers of stone", "stone river"), (2, "", "river"), (3, None, None), (4, "absent words", None)]
+    corpus = spark.createDataFrame([(*r, "c") for r in rows], "id long, title string, abstract string, category string")
+    got = {r["mode"]: (r.recall_1, r.recall_10, r.mrr_10) for r in evaluation.known_item(corpus).collect()}
+    assert got == dict.fromkeys(("bm25", "tf", "match"), (0.25, 0.25, 0.25))
+    assert evaluation.known_item(corpus.where("false")).collect() == []
