@@ -63,7 +63,8 @@ def stem(word: Column) -> Column:
     """Plural to singular by the first rule that matches."""
     cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
     ends = lambda *suffixes: reduce(lambda a, b: a | b, (F.endswith(word, F.lit(s)) for s in suffixes))
-    out = F.when((F.length(word) <= 3) | word.isin(*UNCHANGED), word)
+    # every rule is for words that end in s, so that most words need one comparison
+    out = F.when((F.length(word) <= 3) | ~ends("s") | word.isin(*UNCHANGED), word)
     for plural, singular in IRREGULAR.items():
         out = out.when(word == plural, F.lit(singular))
     return (
@@ -115,13 +116,13 @@ def published_month(identifier: Column) -> Column:
 def _phrases(title_words: Column) -> Column:
     edge = lambda w: is_content_word(w) & ~w.isin(*WEAK_EDGES)
 
-    def of(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(title_words) - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size(title_words))
-        grams = F.transform(starts, lambda i: F.slice(title_words, i, n))
-        good = F.filter(grams, lambda g: edge(F.get(g, F.lit(0))) & edge(F.get(g, F.lit(n - 1))) & F.forall(g, lambda w: F.length(w) > 1))
-        return F.transform(good, lambda g: F.array_join(g, " "))
+    def of(edges: Column, n: int) -> Column:
+        # edges are longer than one letter, so only words between them remain to be looked at; beyond the end there is no edge
+        between = lambda i: reduce(lambda a, b: a & b, (F.length(F.get(title_words, i + k)) > 1 for k in range(1, n - 1)), F.lit(True))
+        good = F.filter(F.sequence(F.lit(0), F.greatest(F.size(title_words) - 1, F.lit(0))), lambda i: F.get(edges, i) & F.get(edges, i + (n - 1)) & between(i))
+        return F.transform(good, lambda i: F.array_join(F.slice(title_words, i + 1, n), " "))
 
-    return F.concat(of(2), of(3))
+    return let(F.transform(title_words, edge), lambda edges: F.concat(of(edges, 2), of(edges, 3)))
 
 
 def title_phrases(title_words: Column) -> Column:

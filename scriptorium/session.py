@@ -53,12 +53,14 @@ def stored_bytes(rows: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 60)
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: str, bounded: bool = True) -> DataFrame:
     """A scan dealt over the cores by key, in parts of bounded size; one of enough and small splits stays as it is.
 
+    bounded: small splits are needed, since their rows are aggregated; else enough splits are enough.
+
     Rows of one key stand in one partition afterwards, so that aggregates by the key and more need no other shuffle. Such an
     aggregate keeps all groups of a partition, so the number of partitions grows with the table.
     """
     cores, splits = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
     parts = max(cores, -(-stored_bytes(rows) // PART_BYTES))
-    return rows.repartition(parts, key) if splits < max(2 * cores, parts) else rows
+    return rows.repartition(parts, key) if splits < (max(2 * cores, parts) if bounded else 2 * cores) else rows

@@ -121,3 +121,27 @@ def test_plain_forms(spark):
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem(F.col("w")).alias("s"), T.is_content_word(F.col("w")).alias("c")).collect()
     assert all((T.plain_stem(r.w), T.plain_content_word(r.w)) == (r.s, r.c) for r in rows)
     assert one(spark, "Self-Attention, 3D na\u00efve", T.words) == T.plain_words("Self-Attention, 3D na\u00efve")
+
+
+def test_rules_end_in_s():
+    """The stemmer passes by words that do not end in s, so every rule and exception must be for such words."""
+    assert all(word.endswith("s") for word in (*T.IRREGULAR, *T.UNCHANGED))
+    assert [T.plain_stem(w) for w in ("index", "rivers", "boxes", "glass", "river")] == ["index", "river", "box", "glass", "river"]
+
+
+def test_phrases_by_brute_force(spark):
+    """Edges are judged once per word: as many evaluations as words, and the phrases of the definition."""
+    rng, words = random.Random(5), ("deep", "river", "of", "via", "x", "new", "models", "a", "stone", "up")
+    titles = [None, "", "deep", "deep river", *(" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(60))]
+    edge = lambda w: T.plain_content_word(w) and w not in T.WEAK_EDGES
+
+    def brute(title):
+        w = T.plain_words(title or "")
+        grams = [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
+        return [" ".join(g) for g in grams if edge(g[0]) and edge(g[-1]) and min(map(len, g)) > 1]
+
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    made = df.select("i", T.title_phrases(T.words(F.col("t"))).alias("p"))
+    assert {r.i: r.p or [] for r in made.collect()} == {i: brute(t) for i, t in enumerate(titles)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" IN ") + plan.count("INSET") <= 2
